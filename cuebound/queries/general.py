@@ -9,21 +9,21 @@ from cuebound.functions.keys import video_key
 from cuebound.operators.intervals import periods_and_gaps
 from cuebound.operators.tree import heavy_keys, topic_profile
 from cuebound.session import table
-from cuebound.streaming.compactor import compacted_records
+from cuebound.streaming.compactor import compact_tables, read_compacted, read_index
 
 HEAVY_SHARE = 0.04
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """segment_id and smallest file_id of each record of segment_files."""
-    return compacted_records(spark, sf_dir).select("segment_id", "file_id")
+    return read_index(spark, compact_tables(spark, sf_dir)).select("segment_id", "file_id")
 
 
 def p2_compacted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records and their text lengths per first character of the id: what the compacted files hold, summed up."""
-    records = compacted_records(spark, sf_dir)
+    """Records, files with a copy and bytes of content per first character of the id, over the compacted records."""
+    records = read_compacted(spark, compact_tables(spark, sf_dir))
     return records.groupBy(F.substring("segment_id", 1, 1).alias("initial")).agg(
-        F.count(F.lit(1)).alias("n_records"), F.sum(F.when(F.col("text_json") == "null", 1).otherwise(0)).alias("n_null_texts")
+        F.count(F.lit(1)).alias("n_records"), F.sum(F.octet_length("content").cast("bigint")).alias("content_bytes")
     )
 
 
@@ -107,7 +107,8 @@ QUERIES = {
     "p2_found": (p2_found, f"{SQL_RECORDS} SELECT segment_id, file_id FROM found"),
     "p2_compacted_sizes": (
         p2_compacted_sizes,
-        f"{SQL_RECORDS} SELECT substr(segment_id, 1, 1) AS initial, count(*) AS n_records, CAST(count(*) FILTER (text_value IS NULL) AS BIGINT) AS n_null_texts FROM found GROUP BY 1",
+        f"""{SQL_RECORDS} SELECT substr(found.segment_id, 1, 1) AS initial, count(*) AS n_records, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes
+        FROM found JOIN segment_files USING (file_id) GROUP BY 1""",
     ),
     "p4_found": (p4_found, f"{SQL_PERIODS} SELECT * FROM found"),
     "p4_coverage": (

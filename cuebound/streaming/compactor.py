@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cuebound.session import shared_path
 
@@ -35,31 +34,30 @@ def record_text(content: str | None) -> str | None:
     return json.dumps(value["text"], ensure_ascii=True, sort_keys=True)
 
 
-@F.pandas_udf(T.StringType())
-def record_text_udf(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """record_text over Arrow batches."""
-    for batch in contents:
-        yield batch.map(record_text, na_action="ignore")
-
-
 def parse_files(files: DataFrame) -> DataFrame:
-    """(segment_id, text_json, file_id, path, content, size_bytes) of the files that hold a record.
+    """(segment_id, text_key, file_id, path, content) of the files that hold a record; text_key is the SHA-256 of its text.
 
     A NULL path, a NULL content and contents that are unreadable, foreign or no JSON object with a key text hold none.
     """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [record_text(c) for c in batch.column(2).to_pylist()]
+            held = batch.filter(pa.array([t is not None for t in texts], pa.bool_()))
+            keys = pa.array([hashlib.sha256(t.encode()).digest() for t in texts if t is not None], pa.binary())
+            yield pa.RecordBatch.from_arrays([*held.columns, keys], names=["file_id", "path", "content", "text_key"])
+
+    rows = files.where("path IS NOT NULL AND content IS NOT NULL").select("file_id", "path", "content")
+    held = rows.mapInArrow(parse, "file_id bigint, path string, content string, text_key binary")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     stem = F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
-    parsed = files.where("path IS NOT NULL AND content IS NOT NULL").select(
-        stem.alias("segment_id"), record_text_udf("content").alias("text_json"), "file_id", "path", "content"
-    )
-    return parsed.where("text_json IS NOT NULL")
+    return held.select(stem.alias("segment_id"), "text_key", "file_id", "path", "content")
 
 
 def first_copies(records: DataFrame) -> DataFrame:
-    """One row per (segment_id, text): that of the smallest file_id. Only one small state per record is shuffled twice."""
-    rest = [c for c in records.columns if c not in ("segment_id", "text_json", "file_id")]
-    kept = records.groupBy("segment_id", "text_json").agg(F.min(F.struct("file_id", *rest)).alias("kept"))
-    return kept.select("segment_id", "text_json", "kept.*")
+    """One row per (segment_id, text): that of the smallest file_id. Copies are combined before the shuffle."""
+    kept = records.groupBy("segment_id", "text_key").agg(F.min(F.struct("file_id", "path", "content")).alias("kept"))
+    return kept.select("segment_id", "text_key", "kept.*")
 
 
 def compact_files(
@@ -80,8 +78,7 @@ def compact_files(
     def write(batch: DataFrame, number: int) -> None:
         size = batch.agg(F.sum(F.octet_length("content"))).first()[0] or 0
         parts = max(1, -(-size // target_bytes))
-        out = first_copies(parse_files(batch))
-        out.repartition(parts, "segment_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/batch={number}")
+        first_copies(parse_files(batch)).coalesce(parts).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/batch={number}")
         done["batches"] += 1
         done["bytes"] += size
 
@@ -92,16 +89,24 @@ def compact_files(
     return done
 
 
+def read_index(spark: SparkSession, target: str) -> DataFrame:
+    """(segment_id, text_key, file_id): each record of all batches once, with its smallest file_id; reads no contents."""
+    return _batches(spark, target).groupBy("segment_id", "text_key").agg(F.min("file_id").alias("file_id"))
+
+
 def read_compacted(spark: SparkSession, target: str) -> DataFrame:
-    """(segment_id, text_json, file_id, path, content): each record of all batches once, with its smallest file_id."""
-    schema = "segment_id string, text_json string, file_id bigint, path string, content string, batch int"
-    batches = spark.read.schema(schema).parquet(target).drop("batch")
-    return first_copies(batches)
+    """(segment_id, text_key, file_id, path, content): each record of all batches once, as of its smallest file_id."""
+    index = read_index(spark, target)
+    return _batches(spark, target).join(index, ["segment_id", "text_key", "file_id"], "left_semi")
+
+
+def _batches(spark: SparkSession, target: str) -> DataFrame:
+    schema = "segment_id string, text_key binary, file_id bigint, path string, content string, batch int"
+    return spark.read.schema(schema).parquet(target).drop("batch")
 
 
-def compacted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compact a data folder's segment_files through a fresh checkpoint in the shared folder and read the result."""
+def compact_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Compact a data folder's segment_files through a fresh checkpoint in the shared folder; returns where the result is."""
     work = shared_path(spark, "compact")
-    source = f"{sf_dir.rstrip('/')}/segment_files.parquet"
-    compact_files(spark, os.fspath(source), f"{work}/files", f"{work}/state")
-    return read_compacted(spark, f"{work}/files")
+    compact_files(spark, f"{sf_dir.rstrip('/')}/segment_files.parquet", f"{work}/files", f"{work}/state")
+    return f"{work}/files"
