@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuebound.llm.encode import encode_corpus
 from cuebound.llm.mixing import draw_mix, mix_report
+from cuebound.llm.repair import find_garbled, restore_garbled
 from cuebound.llm.splits import assign_splits, row_components, tied_topics
 from cuebound.llm.tokens import count_tokens, language
 from cuebound.session import table, written
@@ -91,6 +92,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(*_drawn(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a stretch that was decoded with a wrong encoding."""
+    return find_garbled(table(spark, sf_dir, "documents"))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with their restored texts."""
+    return restore_garbled(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, None),
     "p1_splits": (p1_splits, None),
@@ -102,4 +113,6 @@ QUERIES: dict[str, tuple] = {
     "p6_ids": (p6_ids, None),
     "p7_mix": (p7_mix, None),
     "p7_shares": (p7_shares, None),
+    "p8_found": (p8_found, None),
+    "p8_restored": (p8_restored, None),
 }
