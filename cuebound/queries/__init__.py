@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["general", "basic"]
+MODULES = ["general", "basic", "texts", "language"]
 
 
 def registry() -> dict[str, tuple]:
