@@ -34,17 +34,15 @@ def tfidf_similarity(rows: DataFrame, key: str, order: str, text: str, max_terms
     """(a, b, similarity) of each two keys, a < b: the cosine of their TF-IDF vectors, 0 where they share no term.
 
     A key's document is its cleaned texts joined in order; terms are tokens of two or more word characters and pairs of
-    neighbours in the document. The max_terms most frequent terms count (ties: the smaller term); idf is
+    neighbours in the document, across texts too. order is a whole number. The max_terms most frequent terms count (ties: the smaller term); idf is
     ln((1 + N) / (1 + df)) + 1; vectors have length 1. A key without terms has similarity 0; NULL is not a key. The pairs
     grow with the square of the number of keys, which is the result asked for; the keys are topics, not rows.
     """
     tokens = F.regexp_extract_all(X.clean_spaced(F.col(text)), F.lit(f"[{X.WORD}]{{2,}}"), F.lit(0))
-    placed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("order"), F.posexplode(tokens).alias("pos", "token"))
-    # A pair may span two texts, so the next token is looked up over the whole document, in order.
-    following = F.lead("token").over(Window.partitionBy("key").orderBy("order", "pos"))
-    paired = placed.withColumn("next", following)
-    both = F.when(F.col("next").isNull(), F.array("token")).otherwise(F.array(F.col("token"), F.concat_ws(" ", "token", "next")))
-    tf = paired.select("key", F.explode(both).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    docs = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("order"), tokens.alias("t")).where("size(t) > 0")
+    inside = F.transform(F.arrays_zip(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1)), lambda p: F.concat_ws(" ", p["0"], p["1"]))
+    terms = docs.select("key", F.explode(F.concat("t", inside)).alias("term")).unionByName(_seams(docs))
+    tf = terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
     kept = tf.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
     names = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
     n_keys = names.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -57,6 +55,17 @@ def tfidf_similarity(rows: DataFrame, key: str, order: str, text: str, max_terms
     return pairs.join(dots, ["a", "b"], "left").select("a", "b", rounded(F.coalesce("dot", F.lit(0.0))).alias("similarity"))
 
 
+def _seams(docs: DataFrame) -> DataFrame:
+    """(key, term) of the pairs that span two texts: a text's last token and the next text's first. Texts are put in order
+    within blocks of 2^16 numbers, and the blocks of a key by their first texts, so no task gets all texts of a key."""
+    ends = docs.select("key", "order", F.shiftright("order", 16).alias("block"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+    blocks = ends.groupBy("key", "block").agg(F.min_by("first", F.struct("order", "first")).alias("block_first"))
+    blocks = blocks.select("key", "block", F.lead("block_first").over(Window.partitionBy("key").orderBy("block")).alias("later"))
+    near = F.lead("first").over(Window.partitionBy("key", "block").orderBy("order", "first"))
+    joined = ends.withColumn("near", near).join(blocks, ["key", "block"]).withColumn("next", F.coalesce("near", "later"))
+    return joined.where("next IS NOT NULL").select("key", F.concat_ws(" ", "last", "next").alias("term"))
+
+
 def domain_scores(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Per key: the occurrences of each domain's keywords in its lower-cased texts, and the domain with the most (the first of
     those on a tie, 'general' without any)."""
