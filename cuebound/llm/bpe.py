@@ -30,7 +30,8 @@ class TrieEncoder:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
+        #: Every string that ends a token: once a suffix is none of these, no longer one is a token.
+        self.endings = {token[i:] for token in ranks for i in range(len(token))}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, word: bytes) -> list[bytes]:
@@ -55,7 +56,7 @@ class TrieEncoder:
 
     def encode_sorted(self, words: Iterable[bytes]) -> Iterable[list[int]]:
         """The token ids of each word; words must be sorted, so that shared prefixes are encoded once."""
-        ranks, longest, compatible = self.ranks, self.longest, self.compatible
+        ranks, endings, compatible = self.ranks, self.endings, self.compatible
         lasts: list[bytes] = [b""]  # lasts[d]: the last token of the prefix of d bytes
         before = b""
         for word in words:
@@ -68,9 +69,11 @@ class TrieEncoder:
                     shared += 1
             del lasts[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                for start in range(max(0, depth - longest), depth):
+                for start in range(depth - 1, -1, -1):
                     token = word[start:depth]
-                    if token in ranks and (not start or (lasts[start] and compatible(lasts[start], token))):
+                    if token not in endings:
+                        raise ValueError(f"no token ends {word[:depth]!r}")
+                    if token in ranks and (not start or compatible(lasts[start], token)):
                         lasts.append(token)
                         break
                 else:
