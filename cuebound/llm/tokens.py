@@ -44,7 +44,8 @@ def piece_lengths(rows: DataFrame, text: str, tokenizer: str = "byte_bpe_50k", t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["piece", "freq", "n_tokens"])
 
     found = rows.select(F.explode(pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("freq"))
-    counted = found.sortWithinPartitions("piece").mapInArrow(lengths, "piece string, freq bigint, n_tokens bigint")
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism  # distinct pieces are few bytes but much work
+    counted = found.repartitionByRange(spread, "piece").sortWithinPartitions("piece").mapInArrow(lengths, "piece string, freq bigint, n_tokens bigint")
     return written(counted, "lengths")
 
 
