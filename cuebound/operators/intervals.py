@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuebound.session import written
+
 #: Milliseconds of a block (2^22 ms, about 70 minutes) and blocks of a span (2^12). A window task holds at most
 #: one event for each millisecond of a block, one total for each block of a span, or one for each span of a key.
 BLOCK_BITS, SPAN_BITS = 22, 12
@@ -37,7 +39,8 @@ def periods_and_gaps(df: DataFrame, key: Column, start: Column, end: Column) ->
         F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("x"),
     ).select("key", "x.t", F.col("x.d").cast("bigint").alias("d"))
     events = events.groupBy("key", "t").agg(F.sum("d").alias("d")).where("d <> 0")
-    events = events.select("key", F.shiftright("t", BLOCK_BITS).alias("block"), "t", "d")
+    # Written once: three branches below start from the events, two from the edges.
+    events = written(events.select("key", F.shiftright("t", BLOCK_BITS).alias("block"), "t", "d"), "events")
 
     in_block = Window.partitionBy("key", "block").orderBy("t")
     local = events.withColumn("upto", F.sum("d").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -48,7 +51,7 @@ def periods_and_gaps(df: DataFrame, key: Column, start: Column, end: Column) ->
 
     joined = local.join(offsets, ["key", "block"])
     edges = joined.select("key", "block", "t", (F.col("upto") + F.col("offset")).alias("active"), "d")
-    edges = edges.where((F.col("active") == 0) | (F.col("active") == F.col("d")))
+    edges = written(edges.where((F.col("active") == 0) | (F.col("active") == F.col("d"))), "edges")
 
     first = edges.groupBy("key", "block").agg(F.min("t").alias("first_t"))
     following = _next_first(first)
