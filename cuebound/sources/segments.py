@@ -26,15 +26,19 @@ AUDIO = [".wav", ".mp3", ".m4a", ".flac"]
 def read_segments(spark: SparkSession, root: str, exclude_summary: bool = True) -> DataFrame:
     """One row per file root/<topic>/dataset/*.json, unreadable files included (their content in _corrupt).
 
-    Adds topic, segment_id and file_path from the path and fills an absent duration from the bounds. exclude_summary
-    leaves out the summary file, which is no segment; without it that file gives a row without text and times.
+    Adds topic, segment_id and file_path from the path. A duration whose key is absent is filled from the bounds; one that is
+    null stays missing. exclude_summary leaves out the summary file, which is no segment; without it that file gives a
+    row without text and times.
     """
-    raw = spark.read.schema(SEGMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    rows = raw.json(f"{root.rstrip('/')}/*/dataset/*.json").withColumn("file_path", F.col("_metadata.file_path"))
-    rows = rows.withColumn("topic", F.url_decode(F.regexp_extract("file_path", r"([^/]+)/dataset/[^/]*$", 1))).withColumn("segment_id", stem(F.col("file_path")))
+    files = spark.read.text(f"{root.rstrip('/')}/*/dataset/*.json", wholetext=True).withColumn("file_path", F.col("_metadata.file_path"))
     if exclude_summary:
-        rows = rows.where(~F.col("file_path").endswith("/" + SUMMARY))
-    return rows.withColumn("duration", F.coalesce("duration", F.col("end") - F.col("start")))
+        files = files.where(~F.col("file_path").endswith("/" + SUMMARY))
+    row = F.from_json("value", SEGMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    has_key = F.coalesce(F.array_contains(F.json_object_keys("value"), "duration"), F.lit(False))
+    parsed = files.select(row.alias("r"), has_key.alias("has_key"), "file_path").select("r.*", "has_key", "file_path")
+    filled = F.when(F.col("has_key"), F.col("duration")).otherwise(F.col("end") - F.col("start"))
+    topic = F.url_decode(F.regexp_extract("file_path", r"([^/]+)/dataset/[^/]*$", 1))
+    return parsed.withColumn("duration", filled).drop("has_key").withColumn("topic", topic).withColumn("segment_id", stem(F.col("file_path")))
 
 
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
