@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from cuebound.llm.bpe import PATTERN, TOKENIZER_DIR, TrieEncoder, load_ranks
 from cuebound.session import written
 
-#: Lengths that are broadcast: those of the most frequent pieces, at most so many of at most so many bytes each. That
-#: bounds the broadcast to about HOT_PIECES * (HOT_BYTES + 60) bytes, whatever the corpus; other pieces are joined by a shuffle.
-HOT_PIECES, HOT_BYTES = 250_000, 64
+#: Lengths are broadcast while all of them take at most so many bytes, which is checked. Beyond that, those of the most frequent
+#: pieces are, at most so many of at most so many bytes each (about 30 MB whatever the corpus), and others are joined by a shuffle.
+ALL_BYTES, HOT_PIECES, HOT_BYTES, ROW_BYTES = 48 << 20, 250_000, 64, 60
 #: Languages by their three-letter codes: fixed values.
 LANGUAGE_OF = {"vie": "vi", "eng": "en", "por": "pt", "fra": "fr", "fre": "fr", "rus": "ru", "jpn": "ja"}
 
@@ -57,17 +57,16 @@ def count_tokens(rows: DataFrame, text: str, keep: list[str], tokenizer: str = "
     formed on the map side, so only one number per row is shuffled.
     """
     lengths = piece_lengths(rows, text, tokenizer, tokenizer_dir)
-    fits = F.octet_length("piece") <= HOT_BYTES
-    all_fit, n = lengths.agg(F.coalesce(F.bool_and(fits), F.lit(True)), F.count(F.lit(1))).first()
-    hot = lengths.where(fits)
-    if n > HOT_PIECES:
-        hot = written(hot.orderBy(F.desc("freq"), "piece").limit(HOT_PIECES), "hot")
+    size = lengths.agg(F.coalesce(F.sum(F.octet_length("piece") + ROW_BYTES), F.lit(0))).first()[0]
+    hot = lengths
+    if size > ALL_BYTES:
+        hot = written(lengths.where(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("freq"), "piece").limit(HOT_PIECES), "hot")
     numbered = rows.select(*keep, F.col(text).alias("__text")).withColumn("__row", F.monotonically_increasing_id())
     spread = numbered.select(*keep, "__row", F.explode_outer(pieces(F.col("__text"))).alias("piece"))
     known = spread.join(F.broadcast(hot.select("piece", "n_tokens")), "piece", "left")
     sums = known.groupBy("__row", *keep).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-    if not all_fit or n > HOT_PIECES:
-        rare = lengths.join(hot.select("piece"), "piece", "left_anti") if n > HOT_PIECES else lengths.where(~fits)
+    if size > ALL_BYTES:
+        rare = lengths.join(hot.select("piece"), "piece", "left_anti")
         far = known.where("n_tokens IS NULL AND piece IS NOT NULL").drop("n_tokens").join(rare.select("piece", "n_tokens"), "piece")
         sums = sums.union(far.select("__row", *keep, "n_tokens")).groupBy("__row", *keep).agg(F.sum("n_tokens").alias("n_tokens"))
     return sums.drop("__row")
