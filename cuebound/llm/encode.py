@@ -46,8 +46,6 @@ class CorpusEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encode stretches: their distinct new words in sorted order, as a depth-first walk over the words' trie."""
-        if len(self.codes) + len(new) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
-            self._reset()
         cut = {s: self.find(s[1:] if s[0] == " " else " " + s) for s in new}
         fresh = sorted({w.encode() for words in cut.values() for w in words if w not in self.words})
         self.words.update(zip((w.decode() for w in fresh), self.trie.encode_sorted(fresh), strict=True))
@@ -67,11 +65,11 @@ class CorpusEncoder:
                 parts += self.stretches(text)
             ends.append(len(parts))
         new = set(parts).difference(self.codes)
+        if new and len(self.codes) + len(new) > CACHE_ENTRIES:  # start anew with what these texts need
+            self._reset()
+            new = set(parts)
         if new:
-            size = len(self.starts)
             self._learn(new)
-            if len(self.starts) < size + len(new):  # the cache started anew
-                self._learn(set(parts).difference(self.codes))
         codes = np.fromiter(map(self.codes.__getitem__, parts), dtype=np.int64, count=len(parts))
         starts, sizes = np.array(self.starts, dtype=np.int64)[codes], np.array(self.sizes, dtype=np.int64)[codes]
         upto = np.concatenate(([0], np.cumsum(sizes)))
