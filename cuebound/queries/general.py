@@ -72,7 +72,7 @@ keyed AS (SELECT *, CASE
 
 SQL_PERIODS = f"""
 WITH {SQL_VIDEO},
-i AS (SELECT vid, CAST(round("start" * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e FROM keyed
+i AS (SELECT DISTINCT vid, CAST(round("start" * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e FROM keyed
       WHERE vid IS NOT NULL AND abs("start") < 9e12 AND abs("end") < 9e12),
 o AS (SELECT *, max(e) OVER (PARTITION BY vid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i WHERE e > s),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY vid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM o),
