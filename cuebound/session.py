@@ -46,9 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cuebound-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the application's part of the shared folder."""
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote into the shared folder; results that still read them end with that."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
