@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuebound.functions import arrays as A
+from cuebound.functions import decoding as D
 from cuebound.functions import signal as W
 from cuebound.functions import text as X
 from cuebound.functions import tokenizer as Z
@@ -13,7 +15,7 @@ from cuebound.operators.summary import rounded
 from cuebound.queries.language import not_nfc_udf
 from cuebound.session import table
 
-EMB = F.col("embedding")
+EMB = "embedding"
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +28,7 @@ def _sixes(values: Column) -> Column:
 
 def fa01_pad_or_trim(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors cut to 48 and filled up to 80."""
-    v = A.doubles(EMB)
+    v = A.doubles(F.col(EMB))
     return _vectors(spark, sf).select("vec_id", _sixes(A.pad_or_trim(v, 48)).alias("cut"), F.size(A.pad_or_trim(v, 80)).alias("long_size"), F.round(A.total(A.pad_or_trim(v, 80)), 5).alias("long_sum"))
 
 
@@ -61,12 +63,12 @@ def fa06_before_end(spark: SparkSession, sf: str) -> DataFrame:
 
 def fa10_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """Smallest and largest value and where the largest is."""
-    return _vectors(spark, sf).select("vec_id", rounded(F.array_min(A.doubles(EMB))).alias("least"), rounded(F.array_max(A.doubles(EMB))).alias("most"), A.argmax(A.doubles(EMB)).alias("argmax"))
+    return _vectors(spark, sf).select("vec_id", rounded(F.array_min(A.doubles(F.col(EMB)))).alias("least"), rounded(F.array_max(A.doubles(F.col(EMB)))).alias("most"), A.argmax(A.doubles(F.col(EMB))).alias("argmax"))
 
 
 def fm04_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Root mean square and signal-to-noise ratio of vectors."""
-    return _vectors(spark, sf).select("vec_id", rounded(A.root_mean_square(EMB)).alias("rms"), rounded(A.signal_to_noise(EMB)).alias("snr"))
+    return _vectors(spark, sf).select("vec_id", rounded(A.root_mean_square(F.col(EMB))).alias("rms"), rounded(A.signal_to_noise(F.col(EMB))).alias("snr"))
 
 
 def fm06_learning_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +100,7 @@ def fd03_times(spark: SparkSession, sf: str) -> DataFrame:
 
 def tn05_softmax(spark: SparkSession, sf: str) -> DataFrame:
     """Tempered probabilities and log probabilities of vectors."""
-    return _vectors(spark, sf).select("vec_id", _sixes(F.slice(A.softmax(EMB, 2.0), 1, 8)).alias("p"), _sixes(F.slice(A.log_softmax(EMB), 1, 8)).alias("logp"), rounded(A.total(A.softmax(EMB, 2.0))).alias("total"))
+    return _vectors(spark, sf).select("vec_id", _sixes(F.slice(A.softmax(F.col(EMB), 2.0), 1, 8)).alias("p"), _sixes(F.slice(A.log_softmax(F.col(EMB)), 1, 8)).alias("logp"), rounded(A.total(A.softmax(F.col(EMB), 2.0))).alias("total"))
 
 
 def _teacher(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,24 +111,24 @@ def _teacher(spark: SparkSession, sf: str) -> DataFrame:
 
 def tn06_distillation_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Divergence of neighbours, cross entropy of labels, and their blend; the mean over rows with a label below 8."""
-    kl, ce = A.kl_divergence(EMB, F.col("student"), 2.0), A.cross_entropy(F.col("student"), F.col("label"))
+    kl, ce = A.kl_divergence(F.col(EMB), F.col("student"), 2.0), A.cross_entropy(F.col("student"), F.col("label"))
     rows = _teacher(spark, sf).select("label", kl.alias("kl"), ce.alias("ce")).where("label < 8")
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("kl"), 5).alias("kl"), rounded(F.avg("ce"), 5).alias("ce"), rounded(F.avg(F.col("kl") * 0.7 + F.col("ce") * 0.3), 5).alias("loss"))
 
 
 def tn07_fitted(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors fitted to vocabularies of 60 and 70."""
-    return _vectors(spark, sf).select("vec_id", F.size(A.fitted(EMB, 60)).alias("small"), rounded(A.total(A.fitted(EMB, 60)), 5).alias("small_sum"), F.size(A.fitted(EMB, 70)).alias("large"), F.element_at(A.fitted(EMB, 70), -1).alias("last"))
+    return _vectors(spark, sf).select("vec_id", F.size(A.fitted(F.col(EMB), 60)).alias("small"), rounded(A.total(A.fitted(F.col(EMB), 60)), 5).alias("small_sum"), F.size(A.fitted(F.col(EMB), 70)).alias("large"), F.element_at(A.fitted(F.col(EMB), 70), -1).alias("last"))
 
 
 def tn08_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of each vector and the next."""
-    return _teacher(spark, sf).select("vec_id", rounded(A.cosine(EMB, F.col("student"))).alias("similarity"))
+    return _teacher(spark, sf).select("vec_id", rounded(A.cosine(F.col(EMB), F.col("student"))).alias("similarity"))
 
 
 def tn09_suppressed(spark: SparkSession, sf: str) -> DataFrame:
     """The largest position when the first four are suppressed, and the eight largest."""
-    return _vectors(spark, sf).select("vec_id", A.argmax(A.suppressed(EMB, [0, 1, 2, 3])).alias("choice"), A.top_positions(EMB, 8).alias("best"))
+    return _vectors(spark, sf).select("vec_id", A.argmax(A.suppressed(F.col(EMB), [0, 1, 2, 3])).alias("choice"), A.top_positions(F.col(EMB), 8).alias("best"))
 
 
 def tn12_ranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,6 +137,25 @@ def tn12_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("label").agg(F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("vec_id"), F.max("score").alias("score"))
 
 
+def tn10_greedy_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One greedy step on each vector: the token, its log probability added to a sum, both as they were after an end token."""
+    token, ended = A.argmax(A.doubles(F.col(EMB))), F.col("label") == 9
+    logp = F.array_max(A.log_softmax(F.col(EMB)))
+    return _vectors(spark, sf).select("vec_id", F.when(ended, F.lit(Z.EOT)).otherwise(token).alias("token"), rounded(F.when(ended, F.lit(0.0)).otherwise(logp)).alias("sum_logprob"))
+
+
+def _counting_model(sequences: list[list[int]]) -> np.ndarray:
+    """A model of 32 tokens for which the next token is likely to be about twice the last one."""
+    last = np.array([s[-1] for s in sequences])[:, None]
+    return -np.abs(np.arange(32)[None, :] - (last * 2 + 1) % 32) * 0.7
+
+
+def tn11_beam_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Beam searches of width 4 over a small model from each vector's label, ranked by length."""
+    rows = _vectors(spark, sf).select("vec_id", F.array(F.col("label") + 1).alias("start"))
+    return D.decode_rows(rows, "vec_id", "start", _counting_model, D.Rules(begin=1, end=0, suppress=[13]), 12, 4, 0.6)
+
+
 def tn14_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Sinusoidal codes of 64 positions and 16 channels."""
     grid = spark.range(64 * 16).select(F.floor(F.col("id") / 16).alias("position"), (F.col("id") % 16).alias("channel"))
@@ -149,7 +170,7 @@ def tn15_causal_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 def tn17_norms(spark: SparkSession, sf: str) -> DataFrame:
     """Norms of vectors, clipped ones, and of all of them together per label."""
-    return _vectors(spark, sf).groupBy("label").agg(rounded(F.sqrt(F.sum(A.dot(EMB, EMB))), 5).alias("norm"), rounded(F.max(F.sqrt(A.dot(A.norm_clipped(EMB, 0.5), A.norm_clipped(EMB, 0.5))))).alias("largest_clipped"))
+    return _vectors(spark, sf).groupBy("label").agg(rounded(F.sqrt(F.sum(A.dot(F.col(EMB), F.col(EMB)))), 5).alias("norm"), rounded(F.max(F.sqrt(A.dot(A.norm_clipped(F.col(EMB), 0.5), A.norm_clipped(F.col(EMB), 0.5))))).alias("largest_clipped"))
 
 
 def st07_id_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,13 +226,13 @@ def jn06_matched_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _waves(spark: SparkSession, sf: str) -> DataFrame:
     """Tones made from vectors: half a second of each vector's values, repeated."""
-    return _vectors(spark, sf).select("vec_id", "label", F.flatten(F.array_repeat(F.transform(EMB, lambda x: x * 0.1), 125)).alias("wave"))
+    return _vectors(spark, sf).select("vec_id", "label", F.flatten(F.array_repeat(F.transform(F.col(EMB), lambda x: x * 0.1), 125)).alias("wave"))
 
 
 def ag37_audio_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Means of rate, duration, megabytes, noise ratio and level of the manifest's audio and of waves."""
     meta = table(spark, sf, "manifest_samples").agg(rounded(F.avg("sampling_rate")).alias("rate"), rounded(F.avg("duration")).alias("duration"), rounded(F.avg(F.col("duration") * F.col("sampling_rate") * 2 / 1048576)).alias("megabytes"))
-    waves = _vectors(spark, sf).agg(rounded(F.avg(A.signal_to_noise(EMB)), 5).alias("snr"), rounded(F.avg(A.root_mean_square(EMB))).alias("rms"))
+    waves = _vectors(spark, sf).agg(rounded(F.avg(A.signal_to_noise(F.col(EMB))), 5).alias("snr"), rounded(F.avg(A.root_mean_square(F.col(EMB)))).alias("rms"))
     return meta.select("*", waves.select("snr").scalar().alias("snr"), waves.select("rms").scalar().alias("rms"))
 
 
@@ -257,6 +278,8 @@ QUERIES = {
     "tn08_cosine": (tn08_cosine, f"{PAIR} SELECT vec_id, round({_DOT('t', 's')} / sqrt({_DOT('t', 't')}) / sqrt({_DOT('s', 's')}), 6) AS similarity FROM p"),
     "tn09_suppressed": (tn09_suppressed, f"{E} SELECT vec_id, CAST(list_position(d[5:], list_max(d[5:])) + 3 AS INTEGER) AS choice, list_transform(list_sort(list_transform(range(1, len(d) + 1), lambda i: {{'v': -d[i], 'i': i}}))[1:8], lambda s: CAST(s.i - 1 AS INTEGER)) AS best FROM e"),
     "tn12_ranked": (tn12_ranked, f"{E}, r AS (SELECT vec_id, label, round(-CAST(vec_id AS DOUBLE) / ((len(ids) + 5) / 6), 6) AS score FROM e) SELECT label, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score FROM r GROUP BY label"),
+    "tn10_greedy_step": (tn10_greedy_step, f"{E} SELECT vec_id, CAST(CASE label WHEN 9 THEN {Z.EOT} ELSE list_position(d, list_max(d)) - 1 END AS INTEGER) AS token, round(CASE label WHEN 9 THEN 0.0::DOUBLE ELSE list_max({_LSM('d', '1.0::DOUBLE')}) END, 6) AS sum_logprob FROM e"),
+    "tn11_beam_search": (tn11_beam_search, None),
     "tn14_positions": (tn14_positions, "WITH g AS (SELECT i // 16 AS position, i % 16 AS channel FROM (SELECT unnest(range(1024)) AS i)) SELECT *, round(CASE WHEN channel < 8 THEN sin(position * exp(-ln(10000) / 7 * (channel % 8))) ELSE cos(position * exp(-ln(10000) / 7 * (channel % 8))) END, 6) AS code FROM g"),
     "tn15_causal_mask": (tn15_causal_mask, "SELECT i // 16 AS q, i % 16 AS k, i // 16 < i % 16 AS is_masked FROM (SELECT unnest(range(256)) AS i)"),
     "tn17_norms": (tn17_norms, f"{E} SELECT label, round(sqrt(sum({_DOT('d', 'd')})), 5) AS norm, round(max(least(sqrt({_DOT('d', 'd')}), 0.5::DOUBLE)), 6) AS largest_clipped FROM e GROUP BY label"),

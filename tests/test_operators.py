@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuebound.functions import arrays as A
+from cuebound.functions import decoding as D
 from cuebound.functions import signal as W
 from cuebound.functions import tokenizer as Z
 from cuebound.operators import metrics as G
@@ -261,3 +262,27 @@ def test_stream_windows(spark, tmp_path):
     query.stop()
     a = {(r.window.start, r.n, r.total) for r in spark.sql("SELECT * FROM w").collect()}
     assert a == {(r.window.start, r.n, r.total) for r in windowed_metrics(rows).collect()}
+
+
+def test_decoding_rules():
+    rules = D.Rules(begin=1, end=5, suppress=[2], not_first=[1, 5], times=8, no_times=7, latest_first=1)
+    flat = np.zeros(12)
+    flat[0] = 3.0
+    allowed = lambda tokens, logits=flat: set(np.flatnonzero(np.isfinite(rules.apply(logits, tokens))))
+    assert allowed([9]) == {8, 9}
+    assert allowed([9, 8]) == {0, 1, 3, 4, 5, 6}
+    assert allowed([9, 8, 0]) == {0, 1, 3, 4, 5, 6, 9, 10, 11}
+    assert allowed([9, 8, 0, 10]) == {10, 11}  # an open pair; all times together are likelier than the end
+    assert allowed([9, 8, 0, 11]) == {5, 6, 11}
+    assert allowed([9, 8, 0], np.zeros(12)) == {9, 10, 11}
+
+
+def test_search():
+    table = np.log(np.array([[0.0, 0.55, 0.45, 0.0], [0.5, 0.0, 0.0, 0.5], [0.0, 0.05, 0.0, 0.95], [0.0, 0.0, 0.0, 1.0]]) + 1e-12)
+    model = lambda sequences: table[[s[-1] for s in sequences]]
+    rules = D.Rules(begin=1, end=3)
+    assert D.greedy(model, [0], rules, 10).tokens[:2] == [0, 1]
+    best = D.beam(model, [0], rules, 10, 3)[0]
+    assert best.tokens == [0, 2, 3] and abs(best.score - np.log(0.45 * 0.95)) < 1e-6
+    assert D.beam(model, [0], rules, 1, 2)[0].tokens[-1] == 3
+    assert D.start_tokens([1, 2], prompt=list(range(500)))[0] == 50361 and len(D.start_tokens([1, 2], prompt=list(range(500)))) == 226
