@@ -12,6 +12,7 @@ from cuebound.llm.mixing import draw_mix, mix_report
 from cuebound.llm.repair import find_garbled, restore_garbled
 from cuebound.llm.splits import assign_splits, row_components, tied_topics
 from cuebound.llm.tokens import count_tokens, language
+from cuebound.queries.general import SQL_BLANK, SQL_VIDEO
 from cuebound.session import table, written
 
 
@@ -102,8 +103,17 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_garbled(table(spark, sf_dir, "documents"))
 
 
+#: Reachability over ties of topic keys; each video ties its keys to the smallest.
+SQL_TIED = f"""WITH RECURSIVE {SQL_VIDEO},
+t AS (SELECT DISTINCT topic, vid, lower(regexp_replace(nfc_normalize(topic), '{SQL_BLANK}|[._-]', '', 'g')) AS k FROM keyed
+      WHERE topic IS NOT NULL AND NOT regexp_full_match(topic, '{SQL_BLANK}*')),
+n AS (SELECT DISTINCT topic, k FROM t), h AS (SELECT vid, min(k) AS hub FROM t WHERE vid IS NOT NULL GROUP BY vid),
+e AS (SELECT DISTINCT hub AS a, k AS b FROM t JOIN h USING (vid) WHERE hub <> k), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT k AS a, k AS b FROM (SELECT DISTINCT k FROM n) UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
+SELECT x.topic AS topic_a, y.topic AS topic_b FROM n x JOIN r ON x.k = r.a JOIN n y ON y.k = r.b WHERE x.topic < y.topic"""
+
 QUERIES: dict[str, tuple] = {
-    "p1_found": (p1_found, None),
+    "p1_found": (p1_found, SQL_TIED),
     "p1_splits": (p1_splits, None),
     "p1_split_shares": (p1_split_shares, None),
     "p3_document_tokens": (p3_document_tokens, None),
