@@ -69,3 +69,8 @@ def occurrences(t: str, phrase: str) -> str:
 def number(c: str) -> str:
     """A double without NaN."""
     return f"(CASE WHEN isnan({c}) THEN NULL ELSE {c} END)"
+
+
+def zero(v: str) -> str:
+    """v with a negative zero as zero."""
+    return f"(CASE WHEN {v} = 0 THEN 0.0::DOUBLE ELSE {v} END)"

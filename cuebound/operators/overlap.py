@@ -33,11 +33,15 @@ def fixed_segments(videos: DataFrame, width: int) -> DataFrame:
     return rows.select("video_id", "segment_id", ((F.col("segment_id") - 1) * width).alias("start_time"), F.least(F.col("segment_id") * width, F.col("duration")).alias("end_time"))
 
 
-def _binned(df: DataFrame, start: Column, end: Column) -> DataFrame:
-    """df with a row for each bin it covers at its own level (the smallest at which it covers few) and at each level above."""
+def _own_level(start: Column, end: Column) -> Column:
+    """The smallest level at which an interval covers few bins."""
     span = F.greatest(end - start, F.lit(1))
-    own = F.least(F.floor(F.greatest(F.log2(span) - FAN, F.lit(0.0)) / FAN), F.lit(LEVELS - 1)).cast("int")
-    leveled = df.withColumn("__own", own).withColumn("__level", F.explode(F.sequence("__own", F.lit(LEVELS - 1))))
+    return F.least(F.floor(F.greatest(F.log2(span) - FAN, F.lit(0.0)) / FAN), F.lit(LEVELS - 1)).cast("int")
+
+
+def _binned(df: DataFrame, start: Column, end: Column, top: Column) -> DataFrame:
+    """df with a row for each bin it covers at its own level and at each level above, up to top."""
+    leveled = df.withColumn("__own", _own_level(start, end)).withColumn("__level", F.explode(F.sequence("__own", top)))
     width = F.pow(F.lit(2.0), F.col("__level") * FAN).cast("bigint")
     first, last = F.floor(start / width), F.floor((end - 1) / width)
     return leveled.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
@@ -51,8 +55,11 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     length; a pair meets at the larger of the two levels, in the first bin that both cover, and nowhere else. So no
     bin holds more than what really lies there, and no pair comes twice.
     """
-    a = _binned(left.where(f"{key} IS NOT NULL AND left_end > left_start"), F.col("left_start"), F.col("left_end"))
-    b = _binned(right.where(f"{key} IS NOT NULL AND right_end > right_start"), F.col("right_start"), F.col("right_end"))
+    left = left.where(f"{key} IS NOT NULL AND left_end > left_start")
+    right = right.where(f"{key} IS NOT NULL AND right_end > right_start")
+    sides = [(left, F.col("left_start"), F.col("left_end")), (right, F.col("right_start"), F.col("right_end"))]
+    tops = [df.agg(F.coalesce(F.max(_own_level(s, e)), F.lit(0)).alias("top")).scalar() for df, s, e in sides]
+    a, b = (_binned(df, s, e, F.greatest(*tops)) for df, s, e in sides)
     a = a.withColumnRenamed("__own", "__own_a").withColumnRenamed("__first", "__first_a")
     b = b.withColumnRenamed("__own", "__own_b").withColumnRenamed("__first", "__first_b")
     met = a.join(b, [key, "__level", "__bin"])

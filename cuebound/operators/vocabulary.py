@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cuebound.functions import text as X
 from cuebound.operators.summary import rounded
+from cuebound.session import written
 
 
 def word_counts(rows: DataFrame, word_list: Column, *keys: str) -> DataFrame:
@@ -42,7 +43,7 @@ def tfidf_similarity(rows: DataFrame, key: str, order: str, text: str, max_terms
     docs = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("order"), tokens.alias("t")).where("size(t) > 0")
     inside = F.transform(F.arrays_zip(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1)), lambda p: F.concat_ws(" ", p["0"], p["1"]))
     terms = docs.select("key", F.explode(F.concat("t", inside)).alias("term")).unionByName(_seams(docs))
-    tf = terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    tf = written(terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n")), "terms")  # read three times below
     kept = tf.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
     names = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
     n_keys = names.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -155,7 +155,7 @@ def ch04_duration_words_scatter(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "src01_dataset_folders": (src01_dataset_folders, r"SELECT regexp_extract(file_path, '([^/]+)/dataset/[^/]*$', 1) AS channel, regexp_extract(file_path, '^(.*[^/]+/dataset)/[^/]*$', 1) AS folder, count(*) AS json_count FROM segments WHERE regexp_matches(file_path, '[^/]+/dataset/[^/]*\.json$') GROUP BY 1, 2"),
-    "src02_segments": (src02_segments, rf"{S} SELECT row_id, regexp_extract(file_path, '([^/]+)/dataset/[^/]*$', 1) AS path_topic, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem_id, round(filled, 6) AS filled FROM s"),
+    "src02_segments": (src02_segments, rf"{S} SELECT row_id, regexp_extract(file_path, '([^/]+)/dataset/[^/]*$', 1) AS path_topic, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem_id, {Q.zero('round(filled, 6)')} AS filled FROM s"),
     "src04_audio_choice": (src04_audio_choice, r"""WITH a AS (SELECT regexp_replace(audio_path, '\.[^./]*$', '') AS base, id % 4 AS k FROM manifest_samples), f AS (SELECT base || ['.flac', '.wav', '.mp3', '.txt'][CAST(k + 1 AS INTEGER)] AS path, regexp_extract(base, '([^/]*)$', 1) AS segment_id, CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 0 THEN 4 END AS o FROM a),
      b AS (SELECT segment_id, arg_min(path, (o, path)) AS audio_path FROM f WHERE o IS NOT NULL GROUP BY 1) SELECT segment_id, row_id, audio_path FROM segments LEFT JOIN b USING (segment_id)"""),
     "ag01_duration_stats": (ag01_duration_stats, f"{S} SELECT count(*) AS n_segments, {stats('filled', 'duration')}, round(sum(filled) / 3600, 4) AS hours, count(DISTINCT topic) AS n_topics FROM s"),
@@ -164,7 +164,7 @@ QUERIES = {
     "ag04_topic_total_duration": (ag04_topic_total_duration, f"{S} SELECT topic, round(sum(filled), 4) AS total FROM s GROUP BY topic"),
     "prj06_speech_rates": (prj06_speech_rates, f"{T} SELECT row_id, round(wps, 6) AS wps, round(cps, 6) AS cps FROM w"),
     "prj07_duration_category": (prj07_duration_category, f"{S} SELECT row_id, {category('filled')} AS category FROM s"),
-    "prj08_duration_mismatch": (prj08_duration_mismatch, f"{S} SELECT row_id, du AS duration, round(en - st, 6) AS calculated FROM s WHERE abs(du - round(en - st, 6)) > 0.1"),
+    "prj08_duration_mismatch": (prj08_duration_mismatch, f"{S} SELECT row_id, du AS duration, {Q.zero("round(en - st, 6)")} AS calculated FROM s WHERE abs(du - round(en - st, 6)) > 0.1"),
     "prj16_plotted_rates": (prj16_plotted_rates, f"{T} SELECT row_id FROM w WHERE wps > 0 AND wps < 10 AND cps > 0 AND cps < 50"),
     "prj17_head_sample": (prj17_head_sample, "SELECT row_id, segment_id FROM segments ORDER BY row_id LIMIT 100"),
     "prj18_random_sample": (prj18_random_sample, None),
@@ -178,5 +178,5 @@ QUERIES = {
     "ch01_duration_histogram": (ch01_duration_histogram, hist_sql(S, "filled", 50)),
     "ch02_duration_box_plot": (ch02_duration_box_plot, box_sql(S, "topic", "filled")),
     "ch03_topic_shares": (ch03_topic_shares, "SELECT topic, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 6) AS share FROM segments GROUP BY topic"),
-    "ch04_duration_words_scatter": (ch04_duration_words_scatter, f"{T} SELECT round(filled, 3) AS x, n_words AS y, count(*) AS n FROM w WHERE filled IS NOT NULL GROUP BY 1, 2"),
+    "ch04_duration_words_scatter": (ch04_duration_words_scatter, f"{T} SELECT {Q.zero('round(filled, 3)')} AS x, n_words AS y, count(*) AS n FROM w WHERE filled IS NOT NULL GROUP BY 1, 2"),
 }

@@ -15,12 +15,12 @@ from cuebound.functions import text as X
 from cuebound.operators import summary as M
 from cuebound.operators import vocabulary as V
 from cuebound.queries.common import S, hist_sql, segments
-from cuebound.session import table
+from cuebound.session import spread, table
 
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "segments").select("row_id", "topic", "text", F.lower(X.or_empty(F.col("text"))).alias("low"))
+    return spread(table(spark, sf, "segments").select("row_id", "topic", "text")).select("row_id", "topic", "text", F.lower(X.or_empty(F.col("text"))).alias("low"))
 
 
 L = "WITH l AS (SELECT row_id, topic, text, lower(coalesce(text, '')) AS low FROM segments)"
@@ -51,8 +51,10 @@ def ag26_consonant_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _syllables(spark: SparkSession, sf: str) -> DataFrame:
-    bare = F.filter(F.transform(X.words(F.col("low")), lambda w: F.regexp_replace(w, f"[^{X.WORD}{X.LATIN}]", "")), lambda w: w != "")
-    return _texts(spark, sf).select(F.explode(bare).alias("word")).select(X.count_of(F.col("word"), f"[{X.VOWELS}]+").alias("n"))
+    """(syllables, n) of each different word; the patterns run once a word, not once an occurrence."""
+    counts = V.word_counts(_texts(spark, sf), X.words(F.col("low")))
+    bare = counts.select(F.regexp_replace("word", f"[^{X.WORD}{X.LATIN}]", "").alias("word"), "n").where("word <> ''")
+    return bare.select(X.count_of(F.col("word"), f"[{X.VOWELS}]+").cast("bigint").alias("syllables"), "n")
 
 
 SYL = f"{L}, sy AS (SELECT {Q.count_of('w', '[' + X.VOWELS + ']+')} AS n FROM (SELECT regexp_replace(unnest({Q.words('low')}), '[^{X.WORD}{X.LATIN}]', '', 'g') AS w FROM l) WHERE w <> '')"
@@ -60,8 +62,9 @@ SYL = f"{L}, sy AS (SELECT {Q.count_of('w', '[' + X.VOWELS + ']+')} AS n FROM (S
 
 def ag27_syllables(spark: SparkSession, sf: str) -> DataFrame:
     """Syllables (vowel groups) of words: total, mean, words of one and their share. Words without a vowel count as 0."""
-    one = F.count_if(F.col("n") == 1)
-    return _syllables(spark, sf).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_syllables"), M.rounded(F.avg("n")).alias("mean"), one.alias("n_mono"), M.rounded(F.try_divide(one * 100, F.count(F.lit(1)))).alias("mono_share"))
+    n, k = F.col("n"), F.col("syllables")
+    one = F.coalesce(F.sum(F.when(k == 1, n)), F.lit(0))
+    return _syllables(spark, sf).agg(F.coalesce(F.sum(n * k), F.lit(0)).alias("n_syllables"), M.rounded(F.try_divide(F.sum(n * k), F.sum(n))).alias("mean"), one.alias("n_mono"), M.rounded(F.try_divide(one * 100, F.sum(n))).alias("mono_share"))
 
 
 def _token_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +95,8 @@ def ag30_transcription_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Segments with mixed case, with a word that may lack its tone, with a repeated word; letters of other scripts."""
     t = X.or_empty(F.col("text"))
     mixed = t.rlike(f"[A-Za-z{X.LATIN}]") & (t != F.lower(t)) & (t != F.upper(t))
-    plain = F.exists(X.words(F.col("low")), lambda w: w.rlike(f"[{X.BASES}]") & ~w.rlike(f"[{X.ALL_TONED}]") & (F.length(w) > 2))
+    # A word of three or more characters without a toned vowel but with a plain one, as one pattern over the text.
+    plain = F.col("low").rlike(f"(?<![^{X.BL}])(?=[^{X.BL}]*[{X.BASES}])[^{X.BL}{X.ALL_TONED}]{{3,}}(?![^{X.BL}])")
     rows = _texts(spark, sf)
     row = rows.agg(F.count_if(mixed).alias("mixed_case"), F.count_if(plain).alias("missing_tone"), F.count_if(X.repeats_a_word(F.col("text"))).alias("repeated_word"))
     other = V.word_counts(rows, F.array_distinct(F.regexp_extract_all(t, F.lit(f"\\p{{L}}"), F.lit(0)))).where(~F.col("word").rlike(f"^[A-Za-z{X.LATIN}]$"))
@@ -142,7 +146,7 @@ def wn07_topic_top_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def ag34_topic_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """TF-IDF similarity of each two sources of documents."""
-    return V.tfidf_similarity(table(spark, sf, "documents"), "source", "doc_id", "text")
+    return V.tfidf_similarity(spread(table(spark, sf, "documents").select("source", "doc_id", "text")), "source", "doc_id", "text")
 
 
 SIM = f"""WITH d AS (SELECT source AS key, doc_id, regexp_extract_all({Q.clean_spaced('text')}, '[{X.WORD}]{{2,}}') AS t FROM documents WHERE source IS NOT NULL),
@@ -185,7 +189,7 @@ def ag35_domain_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def ag36_content_complexity(spark: SparkSession, sf: str) -> DataFrame:
     """Words per sentence, mean word length, diversity and speaking rate of each topic."""
-    rows = segments(spark, sf).withColumns({"w": X.words(F.col("text")), "n_sentences": F.size(X.sentences(F.col("text"))).cast("bigint")})
+    rows = spread(segments(spark, sf).select("topic", "text", "filled")).withColumns({"w": X.words(F.col("text")), "n_sentences": F.size(X.sentences(F.col("text"))).cast("bigint")})
     letters = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
     main = rows.groupBy("topic").agg(F.sum("n_sentences").alias("ns"), F.sum(F.size("w")).alias("nw"), F.sum(letters).alias("nl"), F.sum("filled").alias("seconds"))
     unique = V.word_counts(rows, F.col("w"), "topic").groupBy("topic").agg(F.count(F.lit(1)).alias("nu"))

@@ -13,7 +13,7 @@ from cuebound.functions import text as X
 from cuebound.functions import tokenizer as Z
 from cuebound.operators.summary import rounded
 from cuebound.queries.language import not_nfc_udf
-from cuebound.session import table
+from cuebound.session import spread, table
 
 EMB = "embedding"
 
@@ -186,7 +186,7 @@ def tz01_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def tz01_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of each document, checked against their count and decoded again where all characters are ASCII."""
-    rows = table(spark, sf, "documents").withColumn("ids", Z.encode_udf("text"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("ids", Z.encode_udf("text"))
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), (F.size("ids") == Z.token_count(F.col("text"))).alias("agrees"), F.md5(Z.decode_udf("ids")).alias("decoded"))
 
 
@@ -226,7 +226,7 @@ def jn06_matched_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _waves(spark: SparkSession, sf: str) -> DataFrame:
     """Tones made from vectors: half a second of each vector's values, repeated."""
-    return _vectors(spark, sf).select("vec_id", "label", F.flatten(F.array_repeat(F.transform(F.col(EMB), lambda x: x * 0.1), 125)).alias("wave"))
+    return spread(_vectors(spark, sf)).select("vec_id", "label", F.flatten(F.array_repeat(F.transform(F.col(EMB), lambda x: x * 0.1), 125)).alias("wave"))
 
 
 def ag37_audio_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,11 +11,11 @@ from cuebound.operators import quality as D
 from cuebound.operators import summary as M
 from cuebound.operators import vocabulary as V
 from cuebound.queries.common import S, segments, stats
-from cuebound.session import table
+from cuebound.session import spread, table
 
 
 def _measured(spark: SparkSession, sf: str) -> DataFrame:
-    rows = segments(spark, sf).withColumn("clean", X.clean(F.col("text")))
+    rows = spread(segments(spark, sf).select("row_id", "topic", "text", "filled")).withColumn("clean", X.clean(F.col("text")))
     rows = rows.withColumns({"n_words": F.size(X.words(F.col("clean"))).cast("bigint"), "n_chars": F.length("clean").cast("bigint"), "n_sentences": X.sentence_count(F.col("text"))})
     return rows.withColumn("rate", X.rate(F.col("n_words"), F.col("filled")))
 
@@ -161,7 +161,7 @@ NUMBERS_SQL = r"""WITH n AS (SELECT topic, regexp_extract(segment_id, '^(.*)_\d+
  SELECT topic, video, count(DISTINCT num) AS n_numbers, max(num) - min(num) + 1 AS n_expected FROM n WHERE num IS NOT NULL GROUP BY topic, video HAVING count(DISTINCT num) <> max(num) - min(num) + 1"""
 
 QUERIES = {
-    "prj02_text_measures": (prj02_text_measures, f"{C} SELECT row_id, n_words, n_chars, n_sentences, round(rate, 6) AS rate FROM c"),
+    "prj02_text_measures": (prj02_text_measures, f"{C} SELECT row_id, n_words, n_chars, n_sentences, {Q.zero('round(rate, 6)')} AS rate FROM c"),
     "prj09_cleaners": (prj09_cleaners, f"SELECT doc_id, md5({Q.clean('text')}) AS cleaned, md5({Q.clean_keep_case('text')}) AS kept_case, md5({Q.clean_spaced('text')}) AS spaced FROM documents"),
     "prj10_mean_word_length": (prj10_mean_word_length, f"WITH w AS (SELECT row_id, {Q.words('text')} AS w FROM segments) SELECT row_id, round(CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(w, lambda x: length(x))) / len(w) END, 6) AS mean_length FROM w"),
     "ag05_text_stats": (ag05_text_stats, f"{C} SELECT {stats('CAST(n_words AS DOUBLE)', 'words', K)}, {stats('CAST(n_chars AS DOUBLE)', 'chars', K)}, {stats('rate', 'rate', 'mean median min max')} FROM c"),
