@@ -13,7 +13,11 @@ from cuebound.llm.repair import find_garbled, restore_garbled
 from cuebound.llm.splits import assign_splits, row_components, tied_topics
 from cuebound.llm.tokens import count_tokens, language
 from cuebound.queries.general import SQL_BLANK, SQL_VIDEO
-from cuebound.session import table, written
+from cuebound.session import spread, table, written
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +48,8 @@ def p1_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return count_tokens(docs, "text", ["doc_id", "source", "lang", "domain"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "domain", "text")
+    return count_tokens(spread(docs), "text", ["doc_id", "source", "lang", "domain"])
 
 
 def p3_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,22 +67,22 @@ def p3_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_segment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each segment."""
-    return count_tokens(table(spark, sf_dir, "segments"), "text", ["row_id", "topic"])
+    return count_tokens(spread(table(spark, sf_dir, "segments").select("row_id", "topic", "text")), "text", ["row_id", "topic"])
 
 
 def p3_topic_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments and tokens per topic, exactly as stored."""
-    tokens = count_tokens(table(spark, sf_dir, "segments"), "text", ["topic"])
+    tokens = count_tokens(spread(table(spark, sf_dir, "segments").select("topic", "text")), "text", ["topic"])
     return tokens.groupBy("topic").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    return encode_corpus(table(spark, sf_dir, "documents"))
+    return encode_corpus(_texts(spark, sf_dir))
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sizes = written(count_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]), "doc_tokens")
+    sizes = written(count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "text", ["doc_id", "source"]), "doc_tokens")
     targets = table(spark, sf_dir, "mix_targets")
     return sizes, targets, draw_mix(sizes, targets)
 
@@ -95,12 +99,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a stretch that was decoded with a wrong encoding."""
-    return find_garbled(table(spark, sf_dir, "documents"))
+    return find_garbled(_texts(spark, sf_dir))
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled documents with their restored texts."""
-    return restore_garbled(table(spark, sf_dir, "documents"))
+    return restore_garbled(_texts(spark, sf_dir))
 
 
 #: Reachability over ties of topic keys; each video ties its keys to the smallest.
