@@ -60,6 +60,7 @@ def _seams(docs: DataFrame) -> DataFrame:
     """(key, term) of the pairs that span two texts: a text's last token and the next text's first. Texts are put in order
     within blocks of 2^16 numbers, and the blocks of a key by their first texts, so no task gets all texts of a key."""
     ends = docs.select("key", "order", F.shiftright("order", 16).alias("block"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+    ends = written(ends, "ends")  # a row per text; two branches below start from it
     blocks = ends.groupBy("key", "block").agg(F.min_by("first", F.struct("order", "first")).alias("block_first"))
     blocks = blocks.select("key", "block", F.lead("block_first").over(Window.partitionBy("key").orderBy("block")).alias("later"))
     near = F.lead("first").over(Window.partitionBy("key", "block").orderBy("order", "first"))
