@@ -52,6 +52,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     A mix has size_factor times the tokens of all rows of sizes; a source aims at target_share of that and is capped at
     max_repeats copies. Sources without tokens have none. A NULL number in targets counts as 0.
     """
+    sizes = sizes.select("source", "n_tokens")
     of_source = sizes.where("source IS NOT NULL AND n_tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).scalar()
     wanted = targets.select("mix_id", "source", "target_share", "max_repeats", "size_factor").join(of_source, "source", "left")
@@ -72,7 +73,7 @@ def draw_mix(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     plan = written(mix_plan(sizes, targets).where("copies > 0"), "plan")
     most = plan.agg(F.max("source_docs")).first()[0] or 0
     chunks = max(1, math.ceil(most / CHUNK_DOCS))
-    drawn = sizes.where("n_tokens > 0").join(F.broadcast(plan.select("mix_id", "source", "source_docs", "copies")), "source")
+    drawn = sizes.select("doc_id", "source", "n_tokens").where("n_tokens > 0").join(F.broadcast(plan.select("mix_id", "source", "source_docs", "copies")), "source")
     own = F.greatest(F.lit(1), F.ceil(F.col("source_docs") / CHUNK_DOCS))
     state = drawn.select(
         "mix_id", "source", "doc_id", "n_tokens", F.floor("copies").cast("bigint").alias("base"),

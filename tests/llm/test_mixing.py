@@ -30,7 +30,7 @@ def test_pivotal_keeps_expectations():
 def corpus(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "big" if i < 3000 else "mid" if i < 3600 else "tiny" if i < 3605 else None, int(rng.integers(0, 400))) for i in range(3700)]
-    return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").withColumn("p", F.lit("clash")).withColumn("base", F.lit(1)), rows
+    return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").withColumn("p", F.lit("clash")).withColumn("copies", F.lit(1)).withColumn("mix_id", F.lit("x")), rows
 
 
 @pytest.mark.parametrize("chunk", [5000, 40])
