@@ -105,8 +105,20 @@ def _batches(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(schema).parquet(target).drop("batch")
 
 
+def consolidate(spark: SparkSession, target: str, out: str, target_bytes: int = TARGET_BYTES) -> None:
+    """Write the records of all batches, each once, to out in files of about target_bytes of content. It overwrites out as a whole,
+    so a run that is tried again replaces it."""
+    records = read_compacted(spark, target)
+    size = records.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    records.coalesce(max(1, -(-size // target_bytes))).write.mode("overwrite").option("compression", "zstd").parquet(out)
+
+
 def compact_tables(spark: SparkSession, sf_dir: str) -> str:
-    """Compact a data folder's segment_files through a fresh checkpoint in the shared folder; returns where the result is."""
+    """Compact a data folder's segment_files through a fresh checkpoint in the shared folder; returns where the result is. Several
+    batches are consolidated at the end, for copies in different batches to become one; one batch is the result itself."""
     work = shared_path(spark, "compact")
-    compact_files(spark, f"{sf_dir.rstrip('/')}/segment_files.parquet", f"{work}/files", f"{work}/state")
-    return f"{work}/files"
+    done = compact_files(spark, f"{sf_dir.rstrip('/')}/segment_files.parquet", f"{work}/files", f"{work}/state")
+    if done["batches"] < 2:
+        return f"{work}/files"
+    consolidate(spark, f"{work}/files", f"{work}/records")
+    return f"{work}/records"

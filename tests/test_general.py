@@ -138,6 +138,10 @@ def test_compactor_keeps_each_record_once_over_batches_and_calls(spark, tmp_path
     rows = C.read_compacted(spark, target).collect()
     assert Counter((r.segment_id, r.file_id) for r in rows).most_common(1)[0][1] == 1
     assert {r.file_id: r.content for r in rows}[1] == RECORDS[0][2]
+    for _ in range(2):
+        C.consolidate(spark, target, str(tmp_path / "records"))
+    assert sorted((r.segment_id, r.file_id) for r in spark.read.parquet(str(tmp_path / "records")).collect()) == sorted(index(spark, target))
+    assert index(spark, str(tmp_path / "records")) == index(spark, target)
 
 
 def test_compactor_replaces_a_batch_that_is_retried(spark, tmp_path):
