@@ -29,7 +29,8 @@ def build_session(app: str = "cuebound", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where unset) a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and the session is local; a cluster
+    without that setting is an error, since a folder of one machine would not be shared."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="cuebound-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
