@@ -62,6 +62,8 @@ def count_tokens(rows: DataFrame, text: str, keep: list[str], tokenizer: str = "
     if size > ALL_BYTES:
         hot = written(lengths.where(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("freq"), "piece").limit(HOT_PIECES), "hot")
     numbered = rows.select(*keep, F.col(text).alias("__text")).withColumn("__row", F.monotonically_increasing_id())
+    if size > ALL_BYTES:
+        numbered = written(numbered, "numbered")  # both branches below need the same numbers, whatever order rows arrive in
     spread = numbered.select(*keep, "__row", F.explode_outer(pieces(F.col("__text"))).alias("piece"))
     known = spread.join(F.broadcast(hot.select("piece", "n_tokens")), "piece", "left")
     sums = known.groupBy("__row", *keep).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))

@@ -100,3 +100,24 @@ def test_language(spark):
     cases = {"vi": "vi", "vi-VN": "vi", "vi_VN": "vi", " VI ": "vi", "vie": "vi", "eng": "en", "pt-BR": "pt", "jpn": "ja", "und": None, "": None, None: None, "haw": "haw", "12": None, "english": None}
     df = spark.createDataFrame(list(cases.items()), "t string, w string").withColumn("l", K.language(F.col("t")))
     assert {r.t: r.l for r in df.collect()} == cases
+
+
+def test_counts_of_rows_whose_order_changes_between_evaluations(spark, reference, monkeypatch):
+    monkeypatch.setattr(K, "ALL_BYTES", 0)
+    monkeypatch.setattr(K, "HOT_PIECES", 3)
+    texts = random_texts(300, 8)
+
+    def shuffled(batches):
+        import os
+        import random
+
+        import pyarrow as pa
+
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.Random(os.urandom(8)).shuffle(order)
+            yield batch.take(pa.array(order))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2).mapInArrow(shuffled, "id int, text string")
+    found = sorted((r.id, r.n_tokens) for r in K.count_tokens(df, "text", ["id"]).collect())
+    assert found == [(i, len(ids)) for i, ids in enumerate(reference(texts))]
