@@ -97,14 +97,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(*_drawn(spark, sf_dir))
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", language(F.col("lang")).alias("language")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a stretch that was decoded with a wrong encoding."""
-    return find_garbled(_texts(spark, sf_dir))
+    return find_garbled(_tagged(spark, sf_dir), language="language")
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled documents with their restored texts."""
-    return restore_garbled(_texts(spark, sf_dir))
+    return restore_garbled(_tagged(spark, sf_dir), language="language")
 
 
 #: Reachability over ties of topic keys; each video ties its keys to the smallest.
