@@ -19,6 +19,12 @@ def log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - top - np.log(np.exp(logits - top).sum(axis=-1, keepdims=True))
 
 
+#: What was said last, as far as times go: nothing, text, a time after text, or a time after which text must follow.
+NOTHING, TEXT, OPENED, CLOSED = range(4)
+#: The state after a text token and after a time, by the state before.
+_AFTER = {NOTHING: (TEXT, CLOSED), TEXT: (TEXT, OPENED), OPENED: (TEXT, CLOSED), CLOSED: (TEXT, CLOSED)}
+
+
 @dataclass(frozen=True)
 class Rules:
     """What a sequence may contain: suppressed ids; ids that must not come first; where time tokens begin (none: no time rules),
@@ -32,39 +38,41 @@ class Rules:
     no_times: int | None = None
     latest_first: int | None = None
 
-    def apply(self, logits: np.ndarray, tokens: list[int]) -> np.ndarray:
-        """logits with minus infinity where the rules exclude a token after tokens.
-
-        Times come in pairs but before the end, never go back, and come first; if all times together are likelier than
-        every other token, one of them must follow.
-        """
-        out = logits.astype(np.float64).copy()
+    def allowed(self, size: int, tokens: list[int]) -> np.ndarray:
+        """Which of size ids may follow tokens. A sequence begins with a time, no later than latest_first; a time that closes a text is
+        followed by the end or by a time; two times by text; times never go back, and a new text begins later than the last."""
+        may = np.ones(size, bool)
+        may[list(self.suppress)] = False
         said = tokens[self.begin :]
-        out[list(self.suppress)] = -np.inf
         if not said:
-            out[list(self.not_first)] = -np.inf
+            may[list(self.not_first)] = False
         if self.times is None:
-            return out
+            return may
         if self.no_times is not None:
-            out[self.no_times] = -np.inf
-        is_time = [t >= self.times for t in said]
-        open_pair = bool(said) and is_time[-1] and not (len(said) < 2 or is_time[-2])
-        if said and is_time[-1]:
-            if open_pair:
-                out[: self.end] = -np.inf
-            else:
-                out[self.times :] = -np.inf
-        past = [t for t, x in zip(said, is_time, strict=True) if x]
-        if past:
-            out[self.times : past[-1] + (0 if open_pair else 1)] = -np.inf
-        if not said:
-            out[: self.times] = -np.inf
+            may[self.no_times] = False
+        state, last = NOTHING, None
+        for token in said:
+            is_time = token >= self.times
+            state, last = _AFTER[state][is_time], token if is_time else last
+        if state == NOTHING:
+            may[: self.times] = False
             if self.latest_first is not None:
-                out[self.times + self.latest_first + 1 :] = -np.inf
-        with np.errstate(invalid="ignore", divide="ignore"):
-            chance = log_softmax(out)
-            mass = np.logaddexp.reduce(chance[self.times :])
-            if mass > chance[: self.times].max():
+                may[self.times + self.latest_first + 1 :] = False
+        elif state == OPENED:
+            may[: self.end] = False
+        elif state == CLOSED:
+            may[self.times :] = False
+        if last is not None:
+            may[self.times : last + (state != OPENED)] = False
+        return may
+
+    def apply(self, logits: np.ndarray, tokens: list[int]) -> np.ndarray:
+        """logits with minus infinity where the rules exclude a token after tokens; text too where all times together are likelier than
+        any other token."""
+        out = np.where(self.allowed(len(logits), tokens), logits.astype(np.float64), -np.inf)
+        if self.times is not None and np.isfinite(out[self.times :]).any():
+            all_times = np.logaddexp.reduce(out[self.times :])  # the normalizer is the same on both sides
+            if all_times > out[: self.times].max(initial=-np.inf):
                 out[: self.times] = -np.inf
         return out
 

@@ -138,7 +138,7 @@ def test_tokenizer(spark):
     assert Z.start_sequence("Vietnamese") == [50258, 50278, 50359]
     assert Z.encode("ing") == [257] and Z.encode(" hi") == [32, 104, 105] and Z.decode(Z.encode("ness abc")) == "ness abc"
     assert "�" in Z.decode(Z.encode("ế"))
-    assert Z.split_on_spaces(Z.encode("hi you, ok")) == [[104, 105], [32, 121, 111, 117], [44], [32, 111, 107]]
+    assert Z.split_to_words(Z.encode("hi you, ok")) == [[104, 105], [32, 121, 111, 117], [44], [32, 111, 107]]
     assert Z.decode([104, Z.TIMES + 54], True) == "h<|1.08|>" and Z.decode([104, Z.TIMES + 54]) == "h"
     assert 35 in Z.non_speech_ids()
     with pytest.raises(ValueError, match="unsupported"):
