@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuebound.llm.encode import encode_corpus
 from cuebound.llm.mixing import draw_mix, mix_report
 from cuebound.llm.repair import find_garbled, restore_garbled
-from cuebound.llm.splits import assign_splits, row_components, tied_topics
+from cuebound.llm.splits import SPLITS, assign_splits, component_sizes, row_components, split_components, tied_topics, topic_classes
 from cuebound.llm.tokens import count_tokens, language
 from cuebound.queries.general import SQL_BLANK, SQL_VIDEO
 from cuebound.session import spread, table, written
@@ -28,23 +27,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's component and split, by the configuration 'base'."""
     config = table(spark, sf_dir, "data_config").where("config_name = 'base'").first()
-    members = written(row_components(table(spark, sf_dir, "segments")), "members")
+    members = written(row_components(table(spark, sf_dir, "segments")), "members")  # read twice
     return assign_splits(members, (config.train_split, config.validation_split, config.test_split), config.random_seed)
 
 
+def p1_topic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stored topic and the smallest one that must share its split."""
+    return topic_classes(table(spark, sf_dir, "segments"))
+
+
 def p1_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and share per split for each configuration, beside the wanted share."""
-    members = written(row_components(table(spark, sf_dir, "segments")), "members")
-    total = members.agg(F.count(F.lit(1)).alias("total")).scalar()
-    found = []
-    for c in table(spark, sf_dir, "data_config").orderBy("config_name").collect():  # a fixed table of three rows
-        wanted = {"train": c.train_split, "validation": c.validation_split, "test": c.test_split}
-        rows = assign_splits(members, (c.train_split, c.validation_split, c.test_split), c.random_seed)
-        counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("component").alias("n_components"))
-        target = spark.createDataFrame(list(wanted.items()), "split string, target_share double")
-        counts = target.join(counts, "split", "left").fillna(0, ["n_rows", "n_components"])
-        found.append(counts.select(F.lit(c.config_name).alias("config_name"), "split", "target_share", "n_rows", "n_components", (F.col("n_rows") / total).alias("actual_share")))
-    return reduce(DataFrame.unionByName, found)
+    configs = table(spark, sf_dir, "data_config").collect()  # a fixed table of three rows
+    wanted = [(c.config_name, name, share) for c in configs for name, share in zip(SPLITS, (c.train_split, c.validation_split, c.test_split), strict=True)]
+    sizes = component_sizes(row_components(table(spark, sf_dir, "segments")))
+    chosen = split_components(sizes, [(c.config_name, (c.train_split, c.validation_split, c.test_split), c.random_seed) for c in configs])
+    counts = chosen.groupBy(F.col("config").alias("config_name"), "split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_components"))
+    target = spark.createDataFrame(wanted, "config_name string, split string, target_share double")
+    joined = target.join(counts, ["config_name", "split"], "left").fillna(0, ["n_rows", "n_components"])
+    total = F.sum("n_rows").over(Window.partitionBy("config_name"))  # three rows each
+    return joined.select("config_name", "split", "target_share", "n_rows", "n_components", (F.col("n_rows") / total).alias("actual_share"))
 
 
 def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +114,18 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Reachability over ties of topic keys; each video ties its keys to the smallest.
-SQL_TIED = f"""WITH RECURSIVE {SQL_VIDEO},
+SQL_REACHED = f"""WITH RECURSIVE {SQL_VIDEO},
 t AS (SELECT DISTINCT topic, vid, lower(regexp_replace(nfc_normalize(topic), '{SQL_BLANK}|[._-]', '', 'g')) AS k FROM keyed
       WHERE topic IS NOT NULL AND NOT regexp_full_match(topic, '{SQL_BLANK}*')),
 n AS (SELECT DISTINCT topic, k FROM t), h AS (SELECT vid, min(k) AS hub FROM t WHERE vid IS NOT NULL GROUP BY vid),
 e AS (SELECT DISTINCT hub AS a, k AS b FROM t JOIN h USING (vid) WHERE hub <> k), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT k AS a, k AS b FROM (SELECT DISTINCT k FROM n) UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
-SELECT x.topic AS topic_a, y.topic AS topic_b FROM n x JOIN r ON x.k = r.a JOIN n y ON y.k = r.b WHERE x.topic < y.topic"""
+r AS (SELECT k AS a, k AS b FROM (SELECT DISTINCT k FROM n) UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)"""
+SQL_TIED = f"{SQL_REACHED} SELECT x.topic AS topic_a, y.topic AS topic_b FROM n x JOIN r ON x.k = r.a JOIN n y ON y.k = r.b WHERE x.topic < y.topic"
+SQL_CLASSES = f"{SQL_REACHED} SELECT x.topic, min(y.topic) AS class FROM n x JOIN r ON x.k = r.a JOIN n y ON y.k = r.b GROUP BY x.topic"
 
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, SQL_TIED),
+    "p1_topic_classes": (p1_topic_classes, SQL_CLASSES),
     "p1_splits": (p1_splits, None),
     "p1_split_shares": (p1_split_shares, None),
     "p3_document_tokens": (p3_document_tokens, None),

@@ -11,9 +11,11 @@ from cuebound.llm.components import connected_components
 from cuebound.session import written
 
 SPLITS = ("train", "validation", "test")
-#: Components of at least this share of all rows are placed one by one (there are at most 1/HEAVY of them); the rest fill
-#: up the splits in hash order, by BUCKETS hash ranges.
-HEAVY, BUCKETS = 0.005, 4096
+#: Hash ranges of components; each goes to one split.
+BUCKETS = 4096
+#: By default, components of at least this share of all rows are placed before the others (there are at most as many as its
+#: inverse); 0 leaves all of them in hash order.
+PLACE_FIRST = 0.005
 
 
 def _keyed(segments: DataFrame) -> DataFrame:
@@ -46,13 +48,19 @@ def topic_components(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mapped, hubs.select("video", F.col("hub").alias("topic_key"))
 
 
-def tied_topics(segments: DataFrame) -> DataFrame:
-    """(topic_a, topic_b): each pair of different stored topics, topic_a < topic_b, that must share a split."""
+def topic_classes(segments: DataFrame) -> DataFrame:
+    """(topic, class): each distinct stored topic that is not blank, and the smallest topic that must share its split. One row a topic,
+    however many are tied."""
     mapped = written(topic_components(segments)[0].select("topic", "component"), "mapped")
-    shared = mapped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    members = mapped.join(shared, "component", "left_semi")
-    a, b = members.select("component", F.col("topic").alias("topic_a")), members.select("component", F.col("topic").alias("topic_b"))
-    return a.join(b, "component").where("topic_a < topic_b").select("topic_a", "topic_b")
+    return mapped.join(mapped.groupBy("component").agg(F.min("topic").alias("class")), "component").select("topic", "class")
+
+
+def tied_topics(segments: DataFrame) -> DataFrame:
+    """(topic_a, topic_b): each pair of different stored topics, topic_a < topic_b, that must share a split. It grows with the square of
+    the topics that are tied, which is what is asked for; topic_classes says the same in one row a topic."""
+    classes = topic_classes(segments)
+    a, b = classes.select("class", F.col("topic").alias("topic_a")), classes.select("class", F.col("topic").alias("topic_b"))
+    return a.join(b, "class").where("topic_a < topic_b").select("topic_a", "topic_b")
 
 
 def row_components(segments: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -71,35 +79,49 @@ def row_components(segments: DataFrame, row_id: str = "row_id") -> DataFrame:
     return known.union(rest)
 
 
-def assign_splits(members: DataFrame, shares: tuple[float, float, float], seed: int) -> DataFrame:
-    """(row_id, component, split) of the rows of row_components: train, validation or test in about the proportions of
-    shares, so that no component has rows in two splits. Empty input gives no rows.
+def component_sizes(members: DataFrame) -> DataFrame:
+    """(component, n) of the rows of row_components, written once."""
+    return written(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+
 
-    Components are placed by hash order: cumulative row counts over BUCKETS ranges of the hash, each range to the split
-    that its middle falls into. Before that, the at most 1/HEAVY components that hold at least HEAVY of all rows go,
-    largest first, to the split that lacks most; the ranges then fill what is left of each split.
+def split_components(sizes: DataFrame, configs: list[tuple[str, tuple[float, float, float], int]], place_first: float = PLACE_FIRST) -> DataFrame:
+    """(config, component, n, split) for each configuration (name, shares of train, validation and test, seed), all in one pass.
+
+    Components are split by hash order: cumulative row counts over BUCKETS ranges of the hash, each range to the split that its
+    middle falls into. With place_first above 0, the components that hold at least that share of all rows (so at most 1/place_first
+    of them) go first, largest first, each to the split that lacks most, and the ranges fill what is left of each split: hash order
+    alone misses the shares by as much as the largest components hold. With 0 all are in hash order.
     """
-    spark = members.sparkSession
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = written(sizes.withColumn("at", F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(BUCKETS))), "sizes")
+    spark = sizes.sparkSession
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    lack, placed = [s * total for s in shares], []
-    heavy_rows = sizes.where(F.col("n") >= max(1.0, HEAVY * total)).select("component", "n")
-    for component, n in heavy_rows.orderBy(F.desc("n"), "component").collect():
-        best = max(range(3), key=lambda i: (lack[i], -i))
-        lack[best] -= n
-        placed.append((component, SPLITS[best]))
-    heavy = spark.createDataFrame(placed, "component string, heavy_split string")
-    left = [max(0.0, x) for x in lack]
-    if not sum(left):
-        left = list(shares)
-    first, second = left[0] / sum(left), (left[0] + left[1]) / sum(left)
-
-    ranges = sizes.join(F.broadcast(heavy), "component", "left_anti").groupBy("at").agg(F.sum("n").alias("n"))
-    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most BUCKETS rows
-    everything = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    middle = (F.sum("n").over(upto) - F.col("n") / 2) / F.sum("n").over(everything)
-    ranges = ranges.select("at", F.when(middle < first, SPLITS[0]).when(middle < second, SPLITS[1]).otherwise(SPLITS[2]).alias("range_split"))
-    chosen = sizes.join(F.broadcast(ranges), "at", "left").join(F.broadcast(heavy), "component", "left")
-    chosen = chosen.select("component", F.coalesce("heavy_split", "range_split").alias("split"))
+    heavy = sizes.where(F.col("n") >= max(1.0, place_first * total)).orderBy(F.desc("n"), "component").collect() if place_first > 0 else []
+    placed, bounds = [], []
+    for name, shares, seed in configs:
+        lack = [s * total for s in shares]
+        for component, n in heavy:
+            best = max(range(3), key=lambda i: (lack[i], -i))
+            lack[best] -= n
+            placed.append((name, component, SPLITS[best]))
+        left = [max(0.0, x) for x in lack]
+        left = left if sum(left) else list(shares)
+        bounds.append((name, seed, left[0] / sum(left), (left[0] + left[1]) / sum(left)))
+    each = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(s).cast("bigint").alias("seed"), F.lit(x).alias("first"), F.lit(y).alias("second")) for c, s, x, y in bounds])
+    light = sizes.where(F.col("n") < max(1.0, place_first * total)) if place_first > 0 else sizes
+    light = light.select("component", "n", F.explode(each).alias("c")).select("component", "n", "c.*").withColumn("at", F.pmod(F.xxhash64("component", "seed"), F.lit(BUCKETS)))
+    ranges = light.groupBy("config", "first", "second", "at").agg(F.sum("n").alias("rows"))
+    upto = Window.partitionBy("config").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most BUCKETS rows
+    middle = (F.sum("rows").over(upto) - F.col("rows") / 2) / F.sum("rows").over(Window.partitionBy("config"))
+    split = F.when(middle < F.col("first"), SPLITS[0]).when(middle < F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
+    ranges = ranges.select("config", "at", split.alias("split"))  # at most BUCKETS rows a configuration
+    chosen = light.join(F.broadcast(ranges), ["config", "at"]).select("config", "component", "n", "split")
+    if not placed:
+        return chosen
+    first = spark.createDataFrame(placed, "config string, component string, split string")
+    return chosen.union(sizes.join(F.broadcast(first), "component").select("config", "component", "n", "split"))
+
+
+def assign_splits(members: DataFrame, shares: tuple[float, float, float], seed: int, place_first: float = PLACE_FIRST) -> DataFrame:
+    """(row_id, component, split) of the rows of row_components: train, validation or test in about the proportions of
+    shares, so that no component has rows in two splits (see split_components). Empty input gives no rows."""
+    chosen = split_components(component_sizes(members), [("", shares, seed)], place_first).select("component", "split")
     return members.join(chosen, "component").select("row_id", "component", "split")
