@@ -9,7 +9,7 @@ from cuebound.functions.keys import video_key
 from cuebound.operators.intervals import periods_and_gaps
 from cuebound.operators.tree import heavy_keys, topic_profile
 from cuebound.session import table
-from cuebound.streaming.compactor import compact_tables, read_compacted, read_index
+from cuebound.streaming.compactor import compact_tables, read_index
 
 HEAVY_SHARE = 0.04
 
@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_compacted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records, files with a copy and bytes of content per first character of the id, over the compacted records."""
-    records = read_compacted(spark, compact_tables(spark, sf_dir))
+    records = spark.read.parquet(f"{compact_tables(spark, sf_dir)}/whole")
     return records.groupBy(F.substring("segment_id", 1, 1).alias("initial")).agg(
         F.count(F.lit(1)).alias("n_records"), F.sum(F.octet_length("content").cast("bigint")).alias("content_bytes")
     )

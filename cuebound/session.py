@@ -58,10 +58,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at path."""
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove what is at path, if anything is."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def clean_shared(spark: SparkSession) -> None:
     """Remove the tables that this application wrote into the shared folder; results that still read them end with that."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    delete(spark, _app_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuebound.session import shared_path
+from cuebound.session import delete, exists, shared_path
 
 #: Bytes of content that one output file holds, about.
 TARGET_BYTES = 128 << 20
@@ -37,7 +37,8 @@ def record_text(content: str | None) -> str | None:
 def parse_files(files: DataFrame) -> DataFrame:
     """(segment_id, text_key, file_id, path, content) of the files that hold a record; text_key is the SHA-256 of its text.
 
-    A NULL path, a NULL content and contents that are unreadable, foreign or no JSON object with a key text hold none.
+    A NULL path, a NULL content and contents that are unreadable, foreign or no JSON object with a key text hold none. A NULL file_id
+    counts as larger than any.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +56,12 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def first_copies(records: DataFrame) -> DataFrame:
-    """One row per (segment_id, text): that of the smallest file_id. Copies are combined before the shuffle."""
-    kept = records.groupBy("segment_id", "text_key").agg(F.min(F.struct("file_id", "path", "content")).alias("kept"))
-    return kept.select("segment_id", "text_key", "kept.*")
+    """(segment_id, text_key, file_id): each record with its smallest file_id. No content is aggregated."""
+    return records.groupBy("segment_id", "text_key").agg(F.min("file_id").alias("file_id"))
+
+
+_KEYS = "segment_id string, text_key binary, file_id bigint, batch int"
+_RECORDS = "segment_id string, text_key binary, file_id bigint, path string, content string, batch int"
 
 
 def compact_files(
@@ -65,10 +69,12 @@ def compact_files(
 ) -> dict[str, int]:
     """Consolidate the small-file table at source into target; returns how many batches and bytes this call took in.
 
-    A file source with a checkpoint discovers each input file once, over any number of calls. All that is there is
-    taken in batches (available-now). Batch n overwrites target/batch=n and nothing else, so a batch that is retried
-    after a failure replaces its output. Within a batch a record (segment_id, text) is kept once, and the batch is
-    written to as many files as its bytes need. Copies that arrive in different batches meet in read_compacted.
+    A file source with a checkpoint discovers each input file once, over any number of calls. All that is there is taken in batches
+    (available-now). Batch n is parsed once into a folder of its own; its records' ids are compared with the index of the batches
+    before it (ids alone, no contents); the records that are new, or came with a smaller file_id, go to target/records/batch=n, in
+    as many files as their bytes need, and their ids to target/keys/batch=n. Both overwrite what an earlier attempt of the batch
+    left, so a batch that is retried after a failure replaces its output. A copy that a later batch supersedes is left out by
+    read_compacted and removed by consolidate.
     """
     static = spark.read.parquet(source)
     pattern = source if set(source) & set("*?[{") else f"{source[:-1]}[{source[-1]}]"  # a glob may be one file or a folder
@@ -76,9 +82,22 @@ def compact_files(
     done = {"batches": 0, "bytes": 0}
 
     def write(batch: DataFrame, number: int) -> None:
-        size = batch.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        staged = shared_path(spark, f"batch-{number}")
+        parse_files(batch).write.option("compression", "zstd").parquet(staged)
+        records = spark.read.parquet(staged)
+        known = first_copies(_read(spark, f"{target}/keys", _KEYS).where(F.col("batch") < number))
+        known = known.select("segment_id", "text_key", F.struct("file_id").alias("known"))
+        found = first_copies(records).join(known, ["segment_id", "text_key"], "left")
+        found = found.where("known IS NULL OR file_id < known.file_id OR known.file_id IS NULL AND file_id IS NOT NULL").drop("known")
+        found.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/keys/batch={number}")
+        found = spark.read.parquet(f"{target}/keys/batch={number}")
+        kept = records.join(found, _same(records, found), "left_semi")
+        size = kept.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
         parts = max(1, -(-size // target_bytes))
-        first_copies(parse_files(batch)).coalesce(parts).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/batch={number}")
+        # A file that is listed twice is there twice with the same id; both rows meet where they are written.
+        once = kept.repartition(parts, "segment_id", "text_key").dropDuplicates(["segment_id", "text_key"])
+        once.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/records/batch={number}")
+        delete(spark, staged)
         done["batches"] += 1
         done["bytes"] += size
 
@@ -89,20 +108,28 @@ def compact_files(
     return done
 
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet files at path, none where nothing has been written yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_index(spark: SparkSession, target: str) -> DataFrame:
     """(segment_id, text_key, file_id): each record of all batches once, with its smallest file_id; reads no contents."""
-    return _batches(spark, target).groupBy("segment_id", "text_key").agg(F.min("file_id").alias("file_id"))
+    return first_copies(_read(spark, f"{target}/keys", _KEYS))
 
 
 def read_compacted(spark: SparkSession, target: str) -> DataFrame:
-    """(segment_id, text_key, file_id, path, content): each record of all batches once, as of its smallest file_id."""
-    index = read_index(spark, target)
-    return _batches(spark, target).join(index, ["segment_id", "text_key", "file_id"], "left_semi")
+    """(segment_id, text_key, file_id, path, content): each record of all batches once, as of its smallest file_id. Only copies that
+    a later batch superseded, which are few, are matched with contents."""
+    keys = _read(spark, f"{target}/keys", _KEYS)
+    least = keys.groupBy("segment_id", "text_key").agg(F.min("file_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    old = keys.join(least, ["segment_id", "text_key"]).where("file_id > least OR file_id IS NULL AND least IS NOT NULL").select("segment_id", "text_key", "file_id")
+    records = _read(spark, f"{target}/records", _RECORDS).drop("batch")
+    return records.join(old, _same(records, old), "left_anti")
 
 
-def _batches(spark: SparkSession, target: str) -> DataFrame:
-    schema = "segment_id string, text_key binary, file_id bigint, path string, content string, batch int"
-    return spark.read.schema(schema).parquet(target).drop("batch")
+def _same(a: DataFrame, b: DataFrame):  # noqa: ANN202
+    return (a["segment_id"] == b["segment_id"]) & (a["text_key"] == b["text_key"]) & a["file_id"].eqNullSafe(b["file_id"])
 
 
 def consolidate(spark: SparkSession, target: str, out: str, target_bytes: int = TARGET_BYTES) -> None:
@@ -110,15 +137,23 @@ def consolidate(spark: SparkSession, target: str, out: str, target_bytes: int =
     so a run that is tried again replaces it."""
     records = read_compacted(spark, target)
     size = records.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
-    records.coalesce(max(1, -(-size // target_bytes))).write.mode("overwrite").option("compression", "zstd").parquet(out)
-
-
-def compact_tables(spark: SparkSession, sf_dir: str) -> str:
-    """Compact a data folder's segment_files through a fresh checkpoint in the shared folder; returns where the result is. Several
-    batches are consolidated at the end, for copies in different batches to become one; one batch is the result itself."""
-    work = shared_path(spark, "compact")
-    done = compact_files(spark, f"{sf_dir.rstrip('/')}/segment_files.parquet", f"{work}/files", f"{work}/state")
-    if done["batches"] < 2:
-        return f"{work}/files"
-    consolidate(spark, f"{work}/files", f"{work}/records")
-    return f"{work}/records"
+    parts = max(1, -(-size // target_bytes))
+    records.repartition(parts, "segment_id", "text_key").write.mode("overwrite").option("compression", "zstd").parquet(out)
+
+
+def small_files(spark: SparkSession, sf_dir: str, records_per_file: int = 500) -> str:
+    """The table segment_files of a data folder as the many small files it stands for, in the shared folder; returns where."""
+    out = shared_path(spark, "small")
+    spark.read.parquet(f"{sf_dir.rstrip('/')}/segment_files.parquet").write.option("maxRecordsPerFile", records_per_file).parquet(out)
+    return out
+
+
+def compact_tables(spark: SparkSession, sf_dir: str, batches: int = 4) -> str:
+    """Compact a data folder's segment_files, written as many small files, through a fresh checkpoint in that many batches; returns
+    the folder with the index (keys), the batches' records (records), and all records in files of full size (whole)."""
+    source, work = small_files(spark, sf_dir), shared_path(spark, "compact")
+    n_files = len(spark.read.parquet(source).inputFiles())
+    compact_files(spark, source, work, f"{work}-state", files_per_batch=max(1, -(-n_files // batches)))
+    consolidate(spark, work, f"{work}/whole")
+    delete(spark, source)
+    return work

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuebound.functions.keys import fold_topic, video_key
 from cuebound.operators import intervals as I
-from cuebound.operators.tree import Measure, heavy_keys, topic_profile, tree_aggregate
+from cuebound.operators.tree import Measure, chunk_numbers, heavy_keys, topic_profile, tree_aggregate
 from cuebound.streaming import compactor as C
 
 SEGMENTS = "row_id bigint, topic string, video_id string, start double, end double, duration double, text string"
@@ -94,9 +94,24 @@ def test_tree_equals_group_by_and_has_no_rows_for_none(spark):
     df = spark.createDataFrame([(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.randint(-5, 5)) for _ in range(2000)], "k string, v int").repartition(13)
     measures = [Measure("n", F.count(F.lit(1))), Measure("s", F.sum("v")), Measure("lo", F.min("v"), "min"), Measure("hi", F.max("v"), "max")]
     want = {tuple(r) for r in df.groupBy("k").agg(F.count(F.lit(1)), F.sum("v"), F.min("v"), F.max("v")).collect()}
-    for chunks, fan_in in ((13, 2), (13, 4), (1, 32), (400, 3)):
-        assert {tuple(r) for r in tree_aggregate(df, ["k"], measures, chunks, fan_in).collect()} == want
-    assert tree_aggregate(df.limit(0), ["k"], measures, 5).collect() == []
+    for bits, fan_in in ((4, 2), (4, 4), (16, 32), (0, 3), (5, None)):
+        node, chunks = chunk_numbers(df, 2000, bits)
+        assert {tuple(r) for r in tree_aggregate(df, ["k"], measures, node, chunks, fan_in).collect()} == want
+    assert tree_aggregate(df.limit(0), ["k"], measures, F.lit(0), 0).collect() == []
+
+
+def test_chunks_have_a_fixed_size(spark):
+    for parts in (1, 7):
+        df = spark.range(5000).repartition(parts)
+        node, chunks = chunk_numbers(df, 5000, 6)
+        sizes = [r["count"] for r in df.withColumn("c", node).groupBy("c").count().collect()]
+        assert max(sizes) == 64 and len(sizes) <= -(-5000 // 64) + parts and abs(len(sizes) - chunks) <= parts
+
+
+def test_merging_takes_three_rounds(spark):
+    df = segment_rows(spark, [(i, f"t{i % 3}", "v", None, None, None, None) for i in range(2000)]).repartition(4)
+    plan = heavy_keys(df, ["topic"], 0.04, chunk_bits=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(field") == 4 and plan.count("__node") >= 3  # one exchange for the chunks, three for the rounds
 
 
 def test_profile_keeps_null_keys_and_long_texts(spark):
@@ -110,9 +125,10 @@ RECORDS = [
     (1, "d/a_001.json", '{"text": "x", "n": 1}'), (2, "copy/a_001.JSON", '  ﻿{"n": 2, "text": "\\u0078"}\n'), (3, "d/a_001.json", '{"text": "y"}'), (4, "d/b.json", '{"text": null}'),
     (5, "e/b.json", '{"text":null}'), (6, "d/c.json", '{"other": "x"}'), (7, "d/d.json", '{"text": "x"'), (8, "d/e.json", '[{"text": "x"}]'), (9, "d/f.json", '{"text": "x"} {"text": "y"}'),
     (10, "d/g.json", ""), (11, "d/h.json", None), (12, None, '{"text": "z"}'), (13, "d/i.json", '{"a": {"text": "x"}}'), (14, "d/j.json", '{"text": "\\ud83d"}'), (15, "d/k", '{"text": ""}'),
-    (16, "d/l.json", "{'text': 'x'}"), (17, "d/m.json", '{"text": NaN}'), (18, "d/n.json", '{"text": "' + "long " * 100_000 + '"}'), (19, "d/o.v2.json", '{"text": "q"}'),
+    (16, "d/l.json", "{'text': 'x'}"), (17, "d/m.json", '{"text": NaN}'), (18, "d/n.json", '{"text": "' + "long " * 100_000 + '"}'), (19, "d/o.v2.json", '{"text": "q"}'), (None, "d/nameless.json", '{"text": "x"}'),
+    (None, "d/k.json", '{"text": ""}'),
 ]
-WANTED = {("a_001", 1), ("a_001", 3), ("b", 4), ("j", 14), ("k", 15), ("n", 18), ("o.v2", 19)}
+WANTED = {("nameless", None), ("a_001", 1), ("a_001", 3), ("b", 4), ("j", 14), ("k", 15), ("n", 18), ("o.v2", 19)}
 
 
 def small_files(spark, rows, path):
@@ -139,25 +155,32 @@ def test_compactor_keeps_each_record_once_over_batches_and_calls(spark, tmp_path
     assert Counter((r.segment_id, r.file_id) for r in rows).most_common(1)[0][1] == 1
     assert {r.file_id: r.content for r in rows}[1] == RECORDS[0][2]
     for _ in range(2):
-        C.consolidate(spark, target, str(tmp_path / "records"))
-    assert sorted((r.segment_id, r.file_id) for r in spark.read.parquet(str(tmp_path / "records")).collect()) == sorted(index(spark, target))
-    assert index(spark, str(tmp_path / "records")) == index(spark, target)
+        C.consolidate(spark, target, str(tmp_path / "whole"))
+    assert sorted((r.segment_id, r.file_id) for r in spark.read.parquet(str(tmp_path / "whole")).collect()) == sorted(index(spark, target))
+    # A later batch holds only what it adds: no record of an earlier one comes again.
+    batches = spark.read.parquet(f"{target}/records").groupBy("segment_id", "text_key").count()
+    again = {r.segment_id for r in batches.where("count > 1").collect()}  # copies with a smaller id, or with one at last
+    assert "b" in again <= {"b", "k"}
+    small_files(spark, [(30, "d/new.json", '{"text": "n"}')], source)
+    C.compact_files(spark, source, target, state)
+    assert index(spark, target) == (WANTED - {("b", 4)}) | {("b", 0), ("new", 20)}
 
 
 def test_compactor_replaces_a_batch_that_is_retried(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    small_files(spark, RECORDS, source)
+    small_files(spark, RECORDS + RECORDS[:3], source)
     C.compact_files(spark, source, target, str(tmp_path / "s1"))
     C.compact_files(spark, source, target, str(tmp_path / "s2"))  # a lost checkpoint: batch 0 comes again
     assert index(spark, target) == WANTED
-    assert spark.read.parquet(target).count() == len(WANTED)
+    assert spark.read.parquet(f"{target}/records").count() == len(WANTED)
 
 
 def test_compactor_of_an_empty_table(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     small_files(spark, [], source)
     C.compact_files(spark, source, target, str(tmp_path / "s"))
-    assert C.read_index(spark, target).count() == 0 if (tmp_path / "out").exists() else True
+    assert C.read_index(spark, target).count() == 0
+    assert C.read_compacted(spark, target).count() == 0
 
 
 def test_record_text_is_exact():
