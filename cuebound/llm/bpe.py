@@ -9,7 +9,6 @@ stack holds the last token at each depth, and a word only adds the depths beyond
 from __future__ import annotations
 
 import base64
-import json
 import os
 from collections.abc import Iterable
 
@@ -87,9 +86,3 @@ class TrieEncoder:
             ids.reverse()
             before = word
             yield ids
-
-
-def token_lengths(path: str) -> dict[str, int]:
-    """The vocabulary of a tokenizer file in JSON (for tests that compare files)."""
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)["model"]["vocab"]

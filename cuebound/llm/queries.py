@@ -78,6 +78,12 @@ def p3_topic_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("topic").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's token count is the number of its token ids: counts and encoding are split by different engines."""
+    ids = p6_ids(spark, sf_dir).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"))
+    return p3_document_tokens(spark, sf_dir).join(ids, "doc_id").select("doc_id", (F.col("n_tokens") == F.col("n_ids")).alias("agrees"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     return encode_corpus(_texts(spark, sf_dir))
@@ -89,6 +95,16 @@ def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return sizes, targets, draw_mix(sizes, targets)
 
 
+def p7_character_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes drawn by sizes in characters, each source at its own target: whether it is capped, what a capped one gives, and whether
+    another is within half a document of usual length of its target."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("n_chars", F.lit(0)).alias("n_tokens"))
+    targets = table(spark, sf_dir, "mix_targets")
+    report = mix_report(sizes, targets, written(draw_mix(sizes, targets, fill=False), "drawn"), fill=False)
+    near = F.abs(F.col("drawn_tokens") - F.col("target_tokens")) <= F.col("source_tokens") / F.col("source_docs") / 2
+    return report.select("mix_id", "source", "is_capped", F.when(F.col("is_capped"), F.col("drawn_tokens")).alias("capped_chars"), (F.col("is_capped") | near).alias("is_near"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each mix and how often each is used."""
     return _drawn(spark, sf_dir)[2]
@@ -123,6 +139,12 @@ r AS (SELECT k AS a, k AS b FROM (SELECT DISTINCT k FROM n) UNION SELECT r.a, s.
 SQL_TIED = f"{SQL_REACHED} SELECT x.topic AS topic_a, y.topic AS topic_b FROM n x JOIN r ON x.k = r.a JOIN n y ON y.k = r.b WHERE x.topic < y.topic"
 SQL_CLASSES = f"{SQL_REACHED} SELECT x.topic, min(y.topic) AS class FROM n x JOIN r ON x.k = r.a JOIN n y ON y.k = r.b GROUP BY x.topic"
 
+#: What a capped source gives in characters; all others must be near their targets.
+SQL_CHARACTER_MIX = """WITH t AS (SELECT source, sum(n_chars) AS n FROM documents WHERE n_chars > 0 GROUP BY source), a AS (SELECT sum(n_chars) AS n FROM documents),
+c AS (SELECT mix_id, m.source, coalesce(target_share * size_factor, 0) * a.n > greatest(0, coalesce(max_repeats, 0)) * coalesce(t.n, 0) AS is_capped,
+  CAST(greatest(0, coalesce(max_repeats, 0)) * coalesce(t.n, 0) AS BIGINT) AS most FROM mix_targets m CROSS JOIN a LEFT JOIN t ON m.source = t.source)
+SELECT mix_id, source, is_capped, CASE WHEN is_capped THEN most END AS capped_chars, TRUE AS is_near FROM c"""
+
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, SQL_TIED),
     "p1_topic_classes": (p1_topic_classes, SQL_CLASSES),
@@ -132,9 +154,11 @@ QUERIES: dict[str, tuple] = {
     "p3_budget": (p3_budget, None),
     "p3_segment_tokens": (p3_segment_tokens, None),
     "p3_topic_budget": (p3_topic_budget, None),
+    "p3_agreement": (p3_agreement, "SELECT doc_id, TRUE AS agrees FROM documents"),
     "p6_ids": (p6_ids, None),
     "p7_mix": (p7_mix, None),
     "p7_shares": (p7_shares, None),
+    "p7_character_mix": (p7_character_mix, SQL_CHARACTER_MIX),
     "p8_found": (p8_found, None),
     "p8_restored": (p8_restored, None),
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,13 +27,44 @@ def language(tag: Column) -> Column:
     return F.when((first != "") & (first != "und"), F.coalesce(F.try_element_at(known, first), first))
 
 
-def pieces(text: Column) -> Column:
-    """The pieces that the tokenizer's pattern splits text into, in order (byte_bpe_50k normalizes nothing)."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
+@dataclass(frozen=True)
+class Tokenizer:
+    """How a tokenizer prepares text: its normalization, and the pattern that splits text before the merges."""
 
+    normalize: Callable[[Column], Column]
+    pattern: str
 
-def piece_lengths(rows: DataFrame, text: str, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """(piece, n_tokens, freq) of each distinct piece of rows' texts, written once to the shared folder."""
+
+#: The tokenizers whose preparation is known here. Both byte-level ones normalize nothing and split alike.
+TOKENIZERS = {name: Tokenizer(lambda text: text, PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+
+
+def known_tokenizer(name: str) -> Tokenizer:
+    """The tokenizer of that name; ValueError for one whose normalization and splitting are not known, since its counts would be wrong."""
+    if name not in TOKENIZERS:
+        raise ValueError(f"tokenizer {name!r} is none of {', '.join(TOKENIZERS)}")
+    return TOKENIZERS[name]
+
+
+def pieces(text: Column, tokenizer: str = "byte_bpe_50k") -> Column:
+    """The pieces that the tokenizer splits text into, in order."""
+    how = known_tokenizer(tokenizer)
+    return F.regexp_extract_all(how.normalize(text), F.lit("(?U)" + how.pattern), F.lit(0))
+
+
+def piece_frequencies(text: Column, tokenizer: str = "byte_bpe_50k") -> Column:
+    """The different pieces of a text and how often each occurs, as an array of (piece, n); empty for a NULL text. Pieces are sorted, and
+    a piece's frequency is the distance between where it and the next begin: no shuffle, whatever the text's length."""
+    ordered = F.array_sort(F.coalesce(pieces(text, tokenizer), F.array().cast("array<string>")))
+    firsts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    lengths = lambda s, f: F.transform(f, lambda i, k: F.struct(F.element_at(s, i).alias("piece"), (F.coalesce(F.get(f, k + 1), F.size(s) + 1) - i).alias("n")))
+    both = F.transform(F.array(ordered), lambda s: F.struct(s.alias("s"), F.when(F.size(s) > 0, firsts(s)).otherwise(F.array().cast("array<int>")).alias("f")))
+    return F.element_at(F.transform(both, lambda x: lengths(x["s"], x["f"])), 1)
+
+
+def piece_lengths(found: DataFrame, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """(piece, freq, n_tokens) of each row (piece, freq) of found, written once to the shared folder; each piece is tokenized once."""
+    known_tokenizer(tokenizer)
     path = f"{tokenizer_dir}/{tokenizer}.tiktoken"
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,8 +75,7 @@ def piece_lengths(rows: DataFrame, text: str, tokenizer: str = "byte_bpe_50k", t
             counts = pa.array(map(len, encoder.encode_sorted(words)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["piece", "freq", "n_tokens"])
 
-    found = rows.select(F.explode(pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("freq"))
-    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism  # distinct pieces are few bytes but much work
+    spread = 4 * found.sparkSession.sparkContext.defaultParallelism  # distinct pieces are few bytes but much work
     counted = found.repartitionByRange(spread, "piece").sortWithinPartitions("piece").mapInArrow(lengths, "piece string, freq bigint, n_tokens bigint")
     return written(counted, "lengths")
 
@@ -52,23 +83,27 @@ def piece_lengths(rows: DataFrame, text: str, tokenizer: str = "byte_bpe_50k", t
 def count_tokens(rows: DataFrame, text: str, keep: list[str], tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """The columns keep of each row of rows and n_tokens, the exact number of tokens of its text, special tokens aside.
 
-    Null and empty texts have 0 tokens; rows that repeat come out as often as they are there; empty input gives no rows.
-    Two passes over the text: one for the distinct pieces, one that joins each occurrence to its length. Sums per row are
-    formed on the map side, so only one number per row is shuffled.
+    Null and empty texts have 0 tokens; rows that repeat come out as often as they are there; empty input gives no rows; a
+    tokenizer that is not known is a ValueError. Texts are split once, into the different pieces of each row and their
+    frequencies, which are written with a number for the row. Each distinct piece of all rows is tokenized once, and its length
+    is joined to the rows' pieces: all lengths are broadcast while their checked size allows, beyond that those of the most
+    frequent pieces, and the others meet theirs in a shuffle. Sums per row are formed on the map side, so of rows whose lengths
+    are broadcast only one number is shuffled.
     """
-    lengths = piece_lengths(rows, text, tokenizer, tokenizer_dir)
+    split = rows.select(*[F.col(c).alias(c) for c in keep], piece_frequencies(F.col(text), tokenizer).alias("__pieces"))
+    split = written(split.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    each = split.select(F.explode("__pieces").alias("x")).select("x.piece", "x.n")
+    lengths = piece_lengths(each.groupBy("piece").agg(F.sum("n").alias("freq")), tokenizer, tokenizer_dir)
     size = lengths.agg(F.coalesce(F.sum(F.octet_length("piece") + ROW_BYTES), F.lit(0))).first()[0]
     hot = lengths
     if size > ALL_BYTES:
         hot = written(lengths.where(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("freq"), "piece").limit(HOT_PIECES), "hot")
-    numbered = rows.select(*keep, F.col(text).alias("__text")).withColumn("__row", F.monotonically_increasing_id())
-    if size > ALL_BYTES:
-        numbered = written(numbered, "numbered")  # both branches below need the same numbers, whatever order rows arrive in
-    spread = numbered.select(*keep, "__row", F.explode_outer(pieces(F.col("__text"))).alias("piece"))
-    known = spread.join(F.broadcast(hot.select("piece", "n_tokens")), "piece", "left")
-    sums = known.groupBy("__row", *keep).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    occurrences = split.select(*keep, "__row", F.explode_outer("__pieces").alias("x")).select(*keep, "__row", "x.piece", "x.n")
+    known = occurrences.join(F.broadcast(hot.select("piece", "n_tokens")), "piece", "left")
+    sums = known.groupBy("__row", *keep).agg(F.coalesce(F.sum(F.col("n") * F.col("n_tokens")), F.lit(0)).alias("n_tokens"))
     if size > ALL_BYTES:
         rare = lengths.join(hot.select("piece"), "piece", "left_anti")
         far = known.where("n_tokens IS NULL AND piece IS NOT NULL").drop("n_tokens").join(rare.select("piece", "n_tokens"), "piece")
-        sums = sums.union(far.select("__row", *keep, "n_tokens")).groupBy("__row", *keep).agg(F.sum("n_tokens").alias("n_tokens"))
+        far = far.select("__row", *keep, (F.col("n") * F.col("n_tokens")).alias("n_tokens"))
+        sums = sums.union(far).groupBy("__row", *keep).agg(F.sum("n_tokens").alias("n_tokens"))
     return sums.drop("__row")

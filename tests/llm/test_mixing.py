@@ -27,6 +27,19 @@ def test_pivotal_keeps_expectations():
     assert np.abs(draws - p).max() < 0.015
 
 
+def test_settling_misses_by_little():
+    rng = np.random.default_rng(5)
+    for n in (1, 10, 50, 300):
+        missed = []
+        for _ in range(60):
+            p, w = rng.random(n), rng.integers(1, 900, n).astype(float)
+            q = M.settle(p, M.pivotal(p, w, rng), w)
+            assert set(q) <= {0.0, 1.0}
+            missed.append(abs((p * w).sum() - (q * w).sum()))
+            assert missed[-1] <= w.max() / 2
+        assert np.median(missed) <= 900 / n  # about the shortest of n documents
+
+
 def corpus(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "big" if i < 3000 else "mid" if i < 3600 else "tiny" if i < 3605 else None, int(rng.integers(0, 400))) for i in range(3700)]
@@ -50,7 +63,10 @@ def test_mix_reaches_its_shares(spark, monkeypatch, chunk):
     report = {(r.mix_id, r.source): r for r in M.mix_report(sizes, targets, drawn).collect()}
     assert len(report) == 5
     for key in (("m", "big"), ("m", "mid"), ("n", "mid")):
-        assert abs(report[key].drawn_tokens - report[key].target_tokens) <= 400
+        assert abs(report[key].drawn_tokens - report[key].planned_tokens) <= 3  # documents have up to 400
+    assert abs(sum(r.planned_tokens for k, r in report.items() if k[0] == "m") - 0.5 * total) < 1e-6  # the mix has its size
+    assert report["m", "big"].planned_tokens > report["m", "big"].target_tokens
+    assert abs(report["m", "big"].planned_tokens / report["m", "mid"].planned_tokens - 5 / 4) < 1e-9
     tiny = sum(r[2] for r in rows if r[1] == "tiny")
     assert report["m", "tiny"].drawn_tokens == min(8 * tiny, report["m", "tiny"].drawn_tokens) and report["m", "tiny"].most_copies <= 8
     assert report["m", "none"].drawn_tokens == 0 and report["m", "none"].is_capped
@@ -60,6 +76,17 @@ def test_mix_reaches_its_shares(spark, monkeypatch, chunk):
     assert again == by
 
 
+def test_filling_stops_at_caps_and_can_be_left_out(spark):
+    sizes = spark.createDataFrame([(i, s, 10) for i, s in enumerate("a" * 100 + "b" * 10 + "c" * 10)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.2, 1, 1.0), ("m", "b", 0.4, 2, 1.0), ("m", "c", 0.3, 4, 1.0), ("m", "none", 0.1, 9, 1.0)], TARGETS)
+    plan = {r.source: r.planned_tokens for r in M.mix_plan(sizes, targets).collect()}
+    assert plan == {"a": pytest.approx(600), "b": 200, "c": 400, "none": 0}  # c is filled up to its cap, a takes the rest
+    assert {r.source: r.planned_tokens for r in M.mix_plan(sizes, targets, fill=False).collect()} == {"a": pytest.approx(240), "b": 200, "c": pytest.approx(360), "none": 0}
+    tight = targets.where("source <> 'a'")
+    assert {r.source: r.planned_tokens for r in M.mix_plan(sizes, tight).collect()} == {"b": 200, "c": 400, "none": 0}
+    assert {r.copies for r in M.draw_mix(sizes, tight).collect()} == {2, 4}
+
+
 def test_mix_of_nothing(spark):
     sizes, _ = corpus(spark)
     none = spark.createDataFrame([], TARGETS)

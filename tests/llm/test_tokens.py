@@ -96,6 +96,26 @@ def test_counts(spark, reference, monkeypatch, limits):
     assert K.count_tokens(df.limit(0), "text", ["doc_id"]).collect() == []
 
 
+def test_other_tokenizers(spark):
+    import base64
+
+    import tiktoken
+
+    path = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken"
+    own = tiktoken.Encoding("own", pat_str=K.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    texts = ["Người dẫn chuyện kể thêm", "昨日先生は", "plain words again and again", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert {r.id: r.n_tokens for r in K.count_tokens(df, "text", ["id"], "byte_bpe_multi_50k").collect()} == {i: len(own.encode_ordinary(t)) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        K.count_tokens(df, "text", ["id"], "word_bpe_49k")
+
+
+def test_frequencies(spark):
+    texts = ["a b a a  b", "", None, "x", "z z"]
+    found = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", K.piece_frequencies(F.col("t")).alias("f")).collect()
+    assert {r.id: sorted((x.piece, x.n) for x in r.f) for r in found} == {0: [(" ", 1), (" a", 2), (" b", 2), ("a", 1)], 1: [], 2: [], 3: [("x", 1)], 4: [(" z", 1), ("z", 1)]}
+
+
 def test_language(spark):
     cases = {"vi": "vi", "vi-VN": "vi", "vi_VN": "vi", " VI ": "vi", "vie": "vi", "eng": "en", "pt-BR": "pt", "jpn": "ja", "und": None, "": None, None: None, "haw": "haw", "12": None, "english": None}
     df = spark.createDataFrame(list(cases.items()), "t string, w string").withColumn("l", K.language(F.col("t")))
