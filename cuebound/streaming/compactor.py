@@ -91,12 +91,9 @@ def compact_files(
         found = found.where("known IS NULL OR file_id < known.file_id OR known.file_id IS NULL AND file_id IS NOT NULL").drop("known")
         found.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/keys/batch={number}")
         found = spark.read.parquet(f"{target}/keys/batch={number}")
-        kept = records.join(found, _same(records, found), "left_semi")
-        size = kept.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
-        parts = max(1, -(-size // target_bytes))
-        # A file that is listed twice is there twice with the same id; both rows meet where they are written.
-        once = kept.repartition(parts, "segment_id", "text_key").dropDuplicates(["segment_id", "text_key"])
-        once.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/records/batch={number}")
+        size = records.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+        kept = _kept(records, found, max(1, -(-size // target_bytes)))
+        kept.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/records/batch={number}")
         delete(spark, staged)
         done["batches"] += 1
         done["bytes"] += size
@@ -118,27 +115,27 @@ def read_index(spark: SparkSession, target: str) -> DataFrame:
     return first_copies(_read(spark, f"{target}/keys", _KEYS))
 
 
-def read_compacted(spark: SparkSession, target: str) -> DataFrame:
-    """(segment_id, text_key, file_id, path, content): each record of all batches once, as of its smallest file_id. Only copies that
-    a later batch superseded, which are few, are matched with contents."""
-    keys = _read(spark, f"{target}/keys", _KEYS)
-    least = keys.groupBy("segment_id", "text_key").agg(F.min("file_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    old = keys.join(least, ["segment_id", "text_key"]).where("file_id > least OR file_id IS NULL AND least IS NOT NULL").select("segment_id", "text_key", "file_id")
-    records = _read(spark, f"{target}/records", _RECORDS).drop("batch")
-    return records.join(old, _same(records, old), "left_anti")
+def _kept(records: DataFrame, index: DataFrame, parts: int) -> DataFrame:
+    """The records whose ids are in an index (segment_id, text_key, file_id), each once, in parts partitions by record. Contents are
+    shuffled once: the index comes to them by the same hash. A file that is listed twice is there twice with the same id."""
+    where, ids = ("segment_id", "text_key"), index.withColumnRenamed("file_id", "kept_id")
+    both = records.repartition(parts, *where).join(ids.repartition(parts, *where), list(where))
+    same = F.coalesce(F.col("file_id") == F.col("kept_id"), F.col("file_id").isNull() & F.col("kept_id").isNull())
+    return both.where(same).drop("kept_id").dropDuplicates(list(where))
 
 
-def _same(a: DataFrame, b: DataFrame):  # noqa: ANN202
-    return (a["segment_id"] == b["segment_id"]) & (a["text_key"] == b["text_key"]) & a["file_id"].eqNullSafe(b["file_id"])
+def read_compacted(spark: SparkSession, target: str, parts: int | None = None) -> DataFrame:
+    """(segment_id, text_key, file_id, path, content): each record of all batches once, as of its smallest file_id, in parts partitions
+    (by default as many as shuffles have)."""
+    records = _read(spark, f"{target}/records", _RECORDS).drop("batch")
+    return _kept(records, read_index(spark, target), parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def consolidate(spark: SparkSession, target: str, out: str, target_bytes: int = TARGET_BYTES) -> None:
     """Write the records of all batches, each once, to out in files of about target_bytes of content. It overwrites out as a whole,
     so a run that is tried again replaces it."""
-    records = read_compacted(spark, target)
-    size = records.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
-    parts = max(1, -(-size // target_bytes))
-    records.repartition(parts, "segment_id", "text_key").write.mode("overwrite").option("compression", "zstd").parquet(out)
+    size = _read(spark, f"{target}/records", _RECORDS).agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    read_compacted(spark, target, max(1, -(-size // target_bytes))).write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
 def small_files(spark: SparkSession, sf_dir: str, records_per_file: int = 500) -> str:
