@@ -60,6 +60,21 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     return F.transform(log_softmax(logits, temperature), F.exp)
 
 
+def probability_of(logits: Column, token: int) -> Column:
+    """The probability of one token, such as the one for no speech at the start of a sequence; NULL beyond the logits."""
+    return F.get(softmax(logits), F.lit(token))
+
+
+def exact_quotient(a: Column, b: Column) -> Column:
+    """a / b of whole numbers; an error where a is no multiple of b, NULL for NULLs."""
+    return F.when(a % b == 0, F.floor(a / b)).when((a % b).isNotNull(), F.raise_error(F.concat(a.cast("string"), F.lit(" is no multiple of "), b.cast("string"))).cast("bigint"))
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """value rounded to digits, a half to the even neighbour."""
+    return F.bround(value, digits)
+
+
 def dot(a: Column, b: Column) -> Column:
     """The inner product of two arrays of equal length."""
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

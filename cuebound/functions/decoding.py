@@ -128,6 +128,17 @@ def beam(model: Model, start: list[int], rules: Rules, limit: int, width: int, p
     return sorted([*done, *(Hypothesis(s.score, [*s.tokens, rules.end]) for s in rest)], reverse=True)
 
 
+def check_options(temperature: float = 0.0, width: int | None = None, best_of: int | None = None, patience: float | None = None, alpha: float | None = None) -> None:
+    """ValueError for options that do not go together: a search of a width samples nothing, so it has no best of several samples, nor has
+    temperature 0; patience is a search's; the length penalty's exponent lies between 0 and 1."""
+    if best_of is not None and (width is not None or temperature == 0):
+        raise ValueError("best_of needs sampling: no width, and a temperature above 0")
+    if patience is not None and width is None:
+        raise ValueError("patience needs a width")
+    if alpha is not None and not 0 <= alpha <= 1:
+        raise ValueError("alpha must be between 0 and 1")
+
+
 def start_tokens(sot: list[int], prompt: list[int] | None = None, prefix: list[int] | None = None, context: int = 448, previous: int = 50361, sample: int = 224) -> list[int]:
     """The ids to start with: the end of a prompt after its mark, the start sequence, a prefix that leaves room for the sample."""
     ids = list(sot)

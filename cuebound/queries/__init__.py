@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["general", "basic", "texts", "language", "labels", "corpus", "tensors"]
+MODULES = ["general", "basic", "texts", "language", "labels", "corpus", "tensors", "files"]
 
 
 def registry() -> dict[str, tuple]:

@@ -153,21 +153,6 @@ def vl04_json_errors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("error IS NOT NULL")
 
 
-def vl02_audio_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """The first error of each sample's audio, its size taken from its length at 16 kHz."""
-    size = F.when(F.col("duration").isNotNull(), (F.col("duration") * F.col("sampling_rate") * 2).cast("bigint"))
-    rows = table(spark, sf, "manifest_samples").select("id", A.audio_error(F.concat(F.regexp_replace("audio_path", r"\.[^./]*$", ""), F.when(F.col("id") % 7 == 0, ".txt").otherwise(".wav")), size, F.col("duration") * 1000).alias("error"))
-    return rows.where("error IS NOT NULL")
-
-
-def vl03_srt_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """The first error of each cue's text as a subtitle file."""
-    kind = F.when(F.col("cue_id") % 5 == 0, ".txt").when(F.col("cue_id") % 5 == 1, ".vtt").otherwise(".srt")
-    content = F.concat(F.when(F.col("cue_id") % 3 == 0, "--> ").otherwise(""), F.col("text"))
-    rows = table(spark, sf, "cues").select("cue_id", A.srt_error(F.concat(F.lit("a"), kind), F.octet_length(content), content).alias("error"))
-    return rows.where("error IS NOT NULL")
-
-
 def ag47_validation_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Labels, valid ones, success rate and verdict."""
     error = A.label_error(F.col("start"), F.col("end"), F.col("text"))
@@ -221,13 +206,6 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return R.numbered(rows, [F.asc("us"), F.asc("event_id")], {"best": ("min", F.col("loss"))}, "step").withColumn("batch", F.floor((F.col("step") - 1) / 100))
 
 
-def src13_batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """The first entry of each day's log, numbered by day from 0."""
-    rows = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
-    first = rows.groupBy("file").agg(F.min(F.struct("us", "event_id", "value")).alias("x")).select("file", "x.event_id", F.col("x.value").alias("loss"))
-    return R.numbered(first, [F.asc("file")]).select((F.col("number") - 1).alias("batch"), "file", "event_id", "loss")
-
-
 def src14_step_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Log entries by kind: those with a step key, those with only a batch key."""
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -321,8 +299,6 @@ QUERIES = {
     "vl05_label_errors": (vl05_label_errors, f"{S} SELECT row_id, {ERR} AS error FROM s WHERE {ERR} IS NOT NULL"),
     "vl04_json_errors": (vl04_json_errors, f"""WITH b AS (SELECT file_id, content, {JBODY} AS body FROM segment_files), x AS (SELECT file_id, CASE WHEN content IS NULL THEN 'missing' WHEN strlen(content) < 2 THEN 'too small' WHEN NOT json_valid(body) OR body = '' THEN 'unreadable'
      WHEN json_type(body) NOT IN ('OBJECT', 'ARRAY') THEN 'neither object nor array' END AS error FROM b) SELECT * FROM x WHERE error IS NOT NULL"""),
-    "vl02_audio_errors": (vl02_audio_errors, "WITH x AS (SELECT id, CASE WHEN duration * sampling_rate IS NULL THEN 'missing' WHEN trunc(duration * sampling_rate * 2) < 1024 THEN 'too small' WHEN id % 7 = 0 THEN 'not an audio file' WHEN duration * 1000 < 100 THEN 'too short' END AS error FROM manifest_samples) SELECT * FROM x WHERE error IS NOT NULL"),
-    "vl03_srt_errors": (vl03_srt_errors, "WITH c AS (SELECT cue_id, CASE WHEN cue_id % 3 = 0 THEN '--> ' ELSE '' END || text AS content FROM cues), x AS (SELECT cue_id, CASE WHEN content IS NULL THEN 'missing' WHEN strlen(content) < 10 THEN 'too small' WHEN cue_id % 5 = 0 THEN 'not a subtitle file' WHEN NOT contains(content, '-->') THEN 'no time line' END AS error FROM c) SELECT * FROM x WHERE error IS NOT NULL"),
     "ag47_validation_totals": (ag47_validation_totals, f"{S}, c AS (SELECT count(*) AS n_total, count(*) FILTER ({ERR} IS NULL) AS n_valid FROM s) SELECT n_total, n_valid, round(n_valid * 100 / n_total, 6) AS success_rate, CASE WHEN n_valid = n_total THEN 'PASSED' WHEN n_valid * 100 / n_total >= 95 THEN 'WARNING' ELSE 'FAILED' END AS status FROM c"),
     "ag49_operation_tracker": (ag49_operation_tracker, "SELECT event_type AS operation, count(*) AS attempts, count(*) FILTER (value < 50) AS successes, count(*) FILTER (NOT coalesce(value < 50, false)) AS failures, printf('%.1f%%', count(*) FILTER (value < 50) * 100 / count(*)) AS success_rate FROM events GROUP BY 1"),
     "ag50_storage": (ag50_storage, r"SELECT lower(regexp_extract(path, '[^/.][^/]*(\.[^./]*)$', 1)) AS suffix, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS bytes, round(sum(size_bytes) / 1048576, 6) AS megabytes FROM segment_files GROUP BY 1"),
@@ -330,7 +306,6 @@ QUERIES = {
     "ag54_manifest_check": (ag54_manifest_check, f"{S}, a AS (SELECT count(*) AS a, sum(duration) / 3600 AS h FROM manifest_samples), b AS (SELECT count(*) AS b, sum(du) / 3600 AS g FROM s) SELECT a - b AS count_gap, round(h - g, 4) AS hour_gap, abs(h - g) > 0.1 AS hours_differ, h >= 100 AS is_target_reached FROM a, b"),
     "ag55_preprocess_summary": (ag55_preprocess_summary, "SELECT count(*) AS total, count(*) FILTER (duration > 0 AND transcription IS NOT NULL) AS processed, count(*) - count(*) FILTER (duration > 0 AND transcription IS NOT NULL) AS failed FROM manifest_samples"),
     "ag57_status_counts": (ag57_status_counts, f"{S}, p AS (SELECT topic, count(*) AS n, count(*) FILTER ({ERR} IS NULL) AS ok FROM s GROUP BY topic) SELECT CASE WHEN ok = n THEN 'success' WHEN ok > 0 THEN 'partial' ELSE 'failed' END AS status, count(*) AS n_topics FROM p GROUP BY 1"),
-    "src13_batch_metrics": (src13_batch_metrics, "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS file, arg_min({'e': event_id, 'v': value}, (epoch_us(ts), event_id)) AS x FROM events GROUP BY 1) SELECT row_number() OVER (ORDER BY file) - 1 AS batch, file, x.e AS event_id, x.v AS loss FROM d"),
     "src14_step_rows": (src14_step_rows, "WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN k % 2 = 0 THEN 'step' ELSE 'batch' END AS kind, k AS position FROM k WHERE k IS NOT NULL"),
     "ag58_metric_catalogue": (ag58_metric_catalogue, "SELECT metric, count(*) AS n_entries FROM (SELECT unnest(json_keys(props)) AS metric FROM events) WHERE metric NOT IN ('step', 'epoch', 'batch', 'phase', 'timestamp') GROUP BY 1"),
     "wn02_batch_boundaries": (wn02_batch_boundaries, f"{LOG} SELECT step, batch FROM (SELECT step, batch, lag(batch) OVER (ORDER BY step) AS before FROM g) WHERE batch <> before"),

@@ -145,28 +145,28 @@ def wn07_topic_top_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ag34_topic_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """TF-IDF similarity of each two sources of documents."""
-    return V.tfidf_similarity(spread(table(spark, sf, "documents").select("source", "doc_id", "text")), "source", "doc_id", "text")
+    """TF-IDF similarity of each two topics of segments."""
+    return V.tfidf_similarity(spread(table(spark, sf, "segments").select("topic", "row_id", "text")), "topic", "row_id", "text")
 
 
-SIM = f"""WITH d AS (SELECT source AS key, doc_id, regexp_extract_all({Q.clean_spaced('text')}, '[{X.WORD}]{{2,}}') AS t FROM documents WHERE source IS NOT NULL),
- u AS (SELECT key, doc_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS pos FROM d), p AS (SELECT key, token, lead(token) OVER (PARTITION BY key ORDER BY doc_id, pos) AS next FROM u),
+SIM = f"""WITH d AS (SELECT topic AS key, row_id, regexp_extract_all({Q.clean_spaced('text')}, '[{X.WORD}]{{2,}}') AS t FROM segments WHERE topic IS NOT NULL),
+ u AS (SELECT key, row_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS pos FROM d), p AS (SELECT key, token, lead(token) OVER (PARTITION BY key ORDER BY row_id, pos) AS next FROM u),
  tf AS (SELECT key, term, count(*) AS n FROM (SELECT key, token AS term FROM p UNION ALL SELECT key, token || ' ' || next FROM p WHERE next IS NOT NULL) GROUP BY ALL),
- kept AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 1000), nk AS (SELECT count(DISTINCT source) AS c FROM documents),
+ kept AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 1000), nk AS (SELECT count(DISTINCT topic) AS c FROM segments),
  w AS (SELECT key, term, n * (ln((1 + c) / (1 + df)) + 1) AS w FROM tf JOIN kept USING (term), nk), nn AS (SELECT key, sqrt(sum(w * w)) AS norm FROM w GROUP BY key),
- x AS (SELECT key, term, w / norm AS w FROM w JOIN nn USING (key)), k AS (SELECT DISTINCT source AS key FROM documents WHERE source IS NOT NULL),
+ x AS (SELECT key, term, w / norm AS w FROM w JOIN nn USING (key)), k AS (SELECT DISTINCT topic AS key FROM segments WHERE topic IS NOT NULL),
  dots AS (SELECT a.key AS a, b.key AS b, sum(a.w * b.w) AS dot FROM x a JOIN x b ON a.term = b.term AND a.key < b.key GROUP BY ALL),
  sim AS (SELECT i.key AS a, j.key AS b, round(coalesce(dot, 0.0::DOUBLE), 6) AS similarity FROM k i JOIN k j ON i.key < j.key LEFT JOIN dots ON dots.a = i.key AND dots.b = j.key)"""
 
 
 def tk03_least_similar(spark: SparkSession, sf: str) -> DataFrame:
-    """The five least similar pairs of sources."""
+    """The five least similar pairs of topics."""
     return ag34_topic_similarity(spark, sf).orderBy("similarity", "a", "b").limit(5)
 
 
 def ch06_similarity_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """The similarity matrix of the first twenty sources, as (row, column, value) with ones on the diagonal."""
-    first = table(spark, sf, "documents").select(F.col("source").alias("a")).where("a IS NOT NULL").distinct().orderBy("a").limit(20)
+    """The similarity matrix of the first twenty topics, as (row, column, value) with ones on the diagonal."""
+    first = table(spark, sf, "segments").select(F.col("topic").alias("a")).where("a IS NOT NULL").distinct().orderBy("a").limit(20)
     both = ag34_topic_similarity(spark, sf)
     mirrored = both.union(both.select("b", "a", "similarity")).union(first.select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity")))
     return mirrored.join(first, "a", "left_semi").join(first.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b", "similarity")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,19 +27,52 @@ SUMMARY = "dataset_summary.json"
 AUDIO = [".wav", ".mp3", ".m4a", ".flac"]
 
 
+def read_hidden(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """(file_path, value) of the whole text files that match patterns and whose names begin with an underscore or a dot, as ids may:
+    Spark's sources take such files for hidden. Their paths are listed by the driver, like those of any source."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for pattern in patterns:
+        target = jvm.org.apache.hadoop.fs.Path(pattern)
+        found += [(str(s.getPath().toUri()),) for s in target.getFileSystem(conf).globStatus(target) or []]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import unquote
+
+        from pyarrow import fs
+
+        for batch in batches:
+            texts = []
+            for uri in batch.column(0).to_pylist():
+                local = uri.startswith("file:")
+                system, path = (fs.LocalFileSystem(), unquote(uri.removeprefix("file:"))) if local else fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(path) as stream:
+                    texts.append(stream.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file_path", "value"])
+
+    return spark.createDataFrame(found, "file_path string").mapInArrow(read, "file_path string, value string")
+
+
 def read_segments(spark: SparkSession, root: str, exclude_summary: bool = True) -> DataFrame:
-    """One row per file root/<topic>/dataset/*.json, unreadable files included (their content in _corrupt).
+    """One row per file root/<topic>/dataset/*.json, unreadable files included (their content in _corrupt), and what is no JSON object too.
 
     Adds topic, segment_id and file_path from the path. A duration whose key is absent is filled from the bounds; one that is
     null stays missing. exclude_summary leaves out the summary file, which is no segment; without it that file gives a
     row without text and times.
     """
-    files = spark.read.text(f"{root.rstrip('/')}/*/dataset/*.json", wholetext=True).withColumn("file_path", F.col("_metadata.file_path"))
+    place = f"{root.rstrip('/')}/*/dataset"
+    found = spark.read.format("binaryFile").load(f"{place}/*.json")
+    files = found.select(F.col("_metadata.file_path").alias("file_path"), F.col("content").cast("string").alias("value"))
+    listed = spark.createDataFrame([(re.sub("^([a-z0-9]+):///", r"\1:/", p),) for p in found.inputFiles()], "file_path string")
+    empty = listed.join(files.select("file_path"), "file_path", "left_anti")  # sources skip files without bytes
+    files = files.unionByName(empty.withColumn("value", F.lit("")))
+    files = files.unionByName(read_hidden(spark, [f"{place}/[_.]*.json"]))
     if exclude_summary:
         files = files.where(~F.col("file_path").endswith("/" + SUMMARY))
-    row = F.from_json("value", SEGMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    row = F.from_json("value", SEGMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
     has_key = F.coalesce(F.array_contains(F.json_object_keys("value"), "duration"), F.lit(False))
-    parsed = files.select(row.alias("r"), has_key.alias("has_key"), "file_path").select("r.*", "has_key", "file_path")
+    parsed = files.select(row.alias("r"), has_key.alias("has_key"), "file_path", "value").select("r.*", "has_key", "file_path", "value")
+    parsed = parsed.withColumn("_corrupt", F.coalesce("_corrupt", F.when(F.json_object_keys("value").isNull(), F.col("value")))).drop("value")
     filled = F.when(F.col("has_key"), F.col("duration")).otherwise(F.col("end") - F.col("start"))
     topic = F.url_decode(F.regexp_extract("file_path", r"([^/]+)/dataset/[^/]*$", 1))
     return parsed.withColumn("duration", filled).drop("has_key").withColumn("topic", topic).withColumn("segment_id", stem(F.col("file_path")))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def write_report(table: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header."""
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small result as one CSV file with a header. Values are quoted and keep their blanks; NULL is an unquoted nothing. A report is one
+    file, so one task writes it: it is for tables that people read."""
+    options = {"header": True, "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.coalesce(1).write.mode("overwrite").options(**options).csv(path)
 
 
 def write_labels(labels: DataFrame, path: str, topic: str = "topic") -> None:
@@ -49,10 +51,10 @@ def drop_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]
 
 
 def render_report(title: str, table: DataFrame, rows: int = 200) -> str:
-    """A small result (at most rows rows) as text."""
-    found = table.limit(rows).collect()
+    """A small result as text: the first rows rows, and how many more there are."""
+    found, more = table.limit(rows).collect(), max(0, table.count() - rows)
     width = max([len(c) for c in table.columns], default=0)
     lines = [title, "=" * len(title)]
     for row in found:
         lines += [f"{name:<{width}}  {row[name]}" for name in table.columns] + [""]
-    return "\n".join(lines)
+    return "\n".join([*lines, f"({more} more rows)"] if more else lines)

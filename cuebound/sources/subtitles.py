@@ -27,7 +27,7 @@ def parse_srt(files: DataFrame, key: str, content: str) -> DataFrame:
     lines = blocks.select(key, "pos", F.split(F.regexp_replace("block", r"^\s+|\s+$", ""), "\n").alias("l"))
     times = F.split(F.get("l", F.lit(1)), " --> ")
     good = lines.where((F.size("l") >= 3) & F.get("l", F.lit(1)).contains("-->") & (F.size(times) == 2))
-    text = F.trim(F.array_join(F.slice("l", 3, 1_000_000), " "))
+    text = F.trim(F.array_join(F.slice(F.col("l"), F.lit(3), F.greatest(F.size("l") - 2, F.lit(0))), " "))
     cues = good.select(key, "pos", F.trim(F.get("l", F.lit(0))).alias("cue_index"), srt_seconds(F.trim(times[0])).alias("start"), srt_seconds(F.trim(times[1])).alias("end"), text.alias("text"))
     return cues.where("text <> ''")
 
@@ -55,5 +55,3 @@ def preferred_language(tracks: DataFrame, preferences: list[str]) -> DataFrame:
     wish = F.array_position(F.array(*map(F.lit, preferences)), F.col("lang"))
     rank = F.when(wish > 0, wish).otherwise(len(preferences) + 1)
     return tracks.where("lang IS NOT NULL AND video_id IS NOT NULL").groupBy("video_id").agg(F.min_by("lang", F.struct(rank, "lang")).alias("lang"))
-
-

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,23 +50,3 @@ def read_config(path: str, required: dict[str, list[str]]) -> dict[str, Any]:
             if key not in config.get(section, {}):
                 raise KeyError(f"{section}.{key}")
     return config
-
-
-@dataclass
-class RunConfig:
-    """Options of a run, with defaults; unknown keys are refused."""
-
-    segment_seconds: int = 30
-    target_hours: float = 100.0
-    batch_size: int = 1000
-    samples_per_shard: int = 1000
-    languages: tuple[str, ...] = ("vi", "en")
-
-    @classmethod
-    def of(cls, values: dict[str, Any]) -> RunConfig:
-        """From a mapping."""
-        known = {f.name for f in fields(cls)}
-        unknown = sorted(set(values) - known)
-        if unknown:
-            raise KeyError(", ".join(unknown))
-        return cls(**values)

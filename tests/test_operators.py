@@ -18,7 +18,9 @@ from cuebound.operators import quality as Q
 from cuebound.operators import summary as S
 from cuebound.operators import validate as V
 from cuebound.operators import vocabulary as C
+from cuebound.plans import checkpoints as H
 from cuebound.plans import pipeline as P
+from cuebound.plans import settings as N
 from cuebound.sources import audio, sinks, tables
 from cuebound.sources import segments as G1
 from cuebound.streaming.windows import windowed_metrics
@@ -212,9 +214,77 @@ def test_other_files(spark, tmp_path):
     assert tables.read_config(str(tmp_path / "c.json"), {"a": ["b"]})["a"]["b"] == 1
     with pytest.raises(KeyError, match="a.c"):
         tables.read_config(str(tmp_path / "c.json"), {"a": ["c"]})
-    assert tables.RunConfig.of({"batch_size": 5}).batch_size == 5
-    with pytest.raises(KeyError):
-        tables.RunConfig.of({"nothing": 1})
+    assert "(2 more rows)" in sinks.render_report("Report", spark.range(3), rows=1)
+
+
+def test_settings(tmp_path):
+    sections = {place: {} for place in ("paths", "student", "teacher", "distillation", "data", "hardware")}
+    for section, options in N.OPTIONS.items():
+        for name, default in options.items():
+            place, key = N._ELSEWHERE.get((section, name), (section, name))
+            if default is N._REQUIRED:
+                sections[place][key] = "5e-5" if name == "learning_rate" else 2 if name in N._NUMBERS else name
+    text = "project:\n  name: 'a: b'  # comment\n---\n" + "".join(f"{place}:\n" + "".join(f"  {k}: {v}\n" for k, v in options.items()) for place, options in sections.items())
+    (tmp_path / "c.yaml").write_text(text.replace("---\n", ""))
+    found = N.Settings.read(str(tmp_path / "c.yaml"))
+    assert found.project == "a: b" and found.training.learning_rate == 5e-5 and found.model.student_model_name == "student_model_name"
+    assert found.data.hop_length == 160 and found.data.return_timestamps is False and found.distillation.ignore_index == -100
+    with pytest.raises(KeyError, match="hardware.device"):
+        N.Settings.of({"project": {"name": "x"}} | {k: {n: 1 for n in v if n != "device"} for k, v in sections.items()})
+    assert N._mappings("a:\n  b: true\n  c: \"x # y\"\n  d: 1.5 # z\ne: ~\n# end\n") == {"a": {"b": True, "c": "x # y", "d": 1.5}, "e": None}
+    with pytest.raises(ValueError, match="line 2"):
+        N._mappings("a:\n  - b\n")
+
+
+def test_checkpoints(spark, tmp_path):
+    values = H.KeyValues(spark, str(tmp_path / "kv"))
+    assert not values.has_any() and values.get() == {}
+    values.update(channel="a", count=1)
+    values.update(count=2, nested={"x": [1, None]})
+    assert values.get() == {"channel": "a", "count": 2, "nested": {"x": [1, None]}} and values.has_any()
+    values.clear()
+    assert not values.has_any()
+    steps, calls = H.Steps(spark, str(tmp_path / "steps")), []
+
+    @steps.step("crawl")
+    def crawl(n):
+        calls.append(n)
+        return {"found": n}
+
+    assert not steps.is_complete("crawl") and steps.result("crawl") is None
+    assert crawl(3) == {"found": 3} and crawl(9) == {"found": 3} and calls == [3]
+    steps.processed("a", "b")
+    steps.failed("c", 'bad "thing"')
+    steps.failed("b", "failed at first")
+    items = spark.createDataFrame([("a",), ("c",), ("d",)], "item string")
+    assert sorted(r.item for r in steps.unprocessed(items, "item").collect()) == ["c", "d"]
+    assert [tuple(r) for r in steps.failures().collect()] == [("c", 'bad "thing"')]
+    size = H.size_of(spark, str(tmp_path / "steps"))
+    assert size > 0 and H.free_bytes(spark, str(tmp_path)) > 0
+    assert H.clean_up(spark, [str(tmp_path / "steps"), str(tmp_path / "none")]) == [(str(tmp_path / "steps"), size), (str(tmp_path / "none"), 0)]
+    assert not steps.is_complete("crawl")
+
+
+def test_options_and_exact_numbers(spark):
+    D.check_options(temperature=0.0, width=5, patience=1.0, alpha=0.6)
+    for bad in ({"width": 5, "best_of": 2}, {"best_of": 2}, {"patience": 1.0}, {"alpha": 1.5}):
+        with pytest.raises(ValueError):
+            D.check_options(**bad)
+    df = spark.createDataFrame([(480, 160), (None, 160)], "a bigint, b bigint")
+    assert [r[0] for r in df.select(A.exact_quotient(F.col("a"), F.col("b"))).collect()] == [3, None]
+    with pytest.raises(Exception, match="481 is no multiple of 160"):
+        spark.createDataFrame([(481, 160)], "a bigint, b bigint").select(A.exact_quotient(F.col("a"), F.col("b"))).collect()
+    assert spark.range(1).select(A.half_even(F.lit(0.125), 2), A.half_even(F.lit(0.375), 2)).first()[:] == (0.12, 0.38)
+
+
+def test_hidden_names_and_empty_files(spark, tmp_path):
+    folder = tmp_path / "My topic" / "dataset"
+    folder.mkdir(parents=True)
+    for name, text in {"_id_001.json": '{"text": "x", "start": 1.0, "end": 2.5}', "b_001.json": "", "c_001.json": "[1]", "d_001.json": "{'text': 'x'}", "e_001.json": '{"start": 1}'}.items():
+        (folder / name).write_text(text)
+    good, bad = G1.split_errors(G1.read_segments(spark, str(tmp_path)))
+    assert sorted((r.topic, r.segment_id, r.text, r.duration) for r in good.collect()) == [("My topic", "_id_001", "x", 1.5), ("My topic", "e_001", None, None)]
+    assert sorted(r.file_path[-10:] for r in bad.collect()) == ["b_001.json", "c_001.json", "d_001.json"]
 
 
 def test_pipeline(spark, tmp_path):
