@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +40,10 @@ def tfidf_similarity(rows: DataFrame, key: str, order: str, text: str, max_terms
 
     A key's document is its cleaned texts joined in order; terms are tokens of two or more word characters and pairs of
     neighbours in the document, across texts too. order is a whole number. The max_terms most frequent terms count (ties: the smaller term); idf is
-    ln((1 + N) / (1 + df)) + 1; vectors have length 1. A key without terms has similarity 0; NULL is not a key. The pairs
-    grow with the square of the number of keys, which is the result asked for; the keys are topics, not rows.
+    ln((1 + N) / (1 + df)) + 1; vectors have length 1. A key without terms has similarity 0; NULL is not a key.
+
+    The pairs grow with the square of the number of keys, which is the result asked for; the keys are topics, not rows. Keys are in
+    blocks of about BLOCK by their hash; a task takes the vectors of two blocks (at most max_terms numbers each) and multiplies them.
     """
     tokens = F.regexp_extract_all(X.clean_spaced(F.col(text)), F.lit(f"[{X.WORD}]{{2,}}"), F.lit(0))
     docs = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("order"), tokens.alias("t")).where("size(t) > 0")
@@ -45,15 +51,45 @@ def tfidf_similarity(rows: DataFrame, key: str, order: str, text: str, max_terms
     terms = docs.select("key", F.explode(F.concat("t", inside)).alias("term")).unionByName(_seams(docs))
     tf = written(terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n")), "terms")  # read three times below
     kept = tf.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
+    kept = kept.withColumn("place", F.row_number().over(Window.orderBy("term")) - 1)  # at most max_terms rows
     names = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-    n_keys = names.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weights = tf.join(F.broadcast(kept), "term").select("key", "term", (F.col("n") * (F.log((1 + n_keys) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = weights.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weights.join(norms, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
-    left, right = unit.select(F.col("key").alias("a"), "term", F.col("w").alias("wa")), unit.select(F.col("key").alias("b"), "term", F.col("w").alias("wb"))
-    dots = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    pairs = names.select(F.col("key").alias("a")).join(names.select(F.col("key").alias("b")), F.col("a") < F.col("b"))
-    return pairs.join(dots, ["a", "b"], "left").select("a", "b", rounded(F.coalesce("dot", F.lit(0.0))).alias("similarity"))
+    n_keys = names.count()
+    weights = tf.join(F.broadcast(kept), "term").select("key", "place", (F.col("n") * (F.log((1 + n_keys) / (1 + F.col("df"))) + 1)).alias("w"))
+    vectors = weights.groupBy("key").agg(F.collect_list(F.struct("place", "w")).alias("v"))
+    blocks = max(1, -(-n_keys // BLOCK))
+    placed = names.join(vectors, "key", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = placed.withColumn("other", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "v.place", "v.w")
+    found = sent.groupBy("i", "j").applyInPandas(_multiplied(max_terms), "a string, b string, similarity double")
+    return found.select("a", "b", rounded(F.col("similarity")).alias("similarity"))
+
+
+#: Keys in a block of tfidf_similarity.
+BLOCK = 1024
+
+
+def _multiplied(terms: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The cosines of two blocks' vectors."""
+
+    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        matrix = np.zeros((len(pdf), terms))
+        for row, place, w in zip(matrix, pdf["place"], pdf["w"], strict=True):
+            if place is not None:
+                row[np.asarray(place, np.int64)] = w
+        length = np.sqrt((matrix * matrix).sum(1, keepdims=True))
+        return pdf["key"].to_numpy(object), matrix / np.where(length == 0, 1, length)
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        pdf = pdf.sort_values("key")
+        (a, x), (b, y) = unit(pdf[pdf["block"] == i]), unit(pdf[pdf["block"] == j])
+        cosines = x @ y.T
+        at = np.triu_indices(len(a), 1) if i == j else tuple(np.indices(cosines.shape).reshape(2, -1))
+        first, second = a[at[0]], b[at[1]]
+        swap = first > second
+        return pd.DataFrame({"a": np.where(swap, second, first), "b": np.where(swap, first, second), "similarity": cosines[at]})
+
+    return multiply
 
 
 def _seams(docs: DataFrame) -> DataFrame:
