@@ -90,8 +90,8 @@ def prj17_head_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prj18_random_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """100 segments at random, the same for the same seed: a sampling operator (order by a hash of id and seed)."""
-    return table(spark, sf, "segments").orderBy(F.xxhash64("row_id", F.lit(7)), "row_id").limit(100).select("row_id", "segment_id")
+    """100 segments at random, the same for the same seed: a sampling operator (order by a digest of id and seed)."""
+    return table(spark, sf, "segments").orderBy(F.md5(F.concat(F.col("row_id").cast("string"), F.lit(":7"))), "row_id").limit(100).select("row_id", "segment_id")
 
 
 def ag10_correlations(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ QUERIES = {
     "prj08_duration_mismatch": (prj08_duration_mismatch, f"{S} SELECT row_id, du AS duration, {Q.zero("round(en - st, 6)")} AS calculated FROM s WHERE abs(du - round(en - st, 6)) > 0.1"),
     "prj16_plotted_rates": (prj16_plotted_rates, f"{T} SELECT row_id FROM w WHERE wps > 0 AND wps < 10 AND cps > 0 AND cps < 50"),
     "prj17_head_sample": (prj17_head_sample, "SELECT row_id, segment_id FROM segments ORDER BY row_id LIMIT 100"),
-    "prj18_random_sample": (prj18_random_sample, None),
+    "prj18_random_sample": (prj18_random_sample, "SELECT row_id, segment_id FROM segments ORDER BY md5(concat(row_id, ':7')), row_id LIMIT 100"),
     "ag10_correlations": (ag10_correlations, f"{T} SELECT round(corr(filled, n_words), 6) AS duration_words, round(corr(filled, wps), 6) AS duration_wps FROM w WHERE filled IS NOT NULL"),
     "ag11_quartiles": (ag11_quartiles, f"{S} SELECT {stats('filled', 'duration', 'q25 median q75')} FROM s"),
     "ag12_category_shares": (ag12_category_shares, f"{S} SELECT category, n, round(n * 100 / total, 6) AS share FROM (SELECT {category('filled')} AS category, count(*) AS n, sum(count(*)) OVER () AS total FROM s GROUP BY 1) WHERE category IS NOT NULL"),

@@ -264,6 +264,10 @@ _Z_SPLIT = (
     r"| ?[^\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{L}\p{N}_]+"
     r"|[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
+#: Tokens decode on their own, so each byte of a character that is not ASCII shows as a replacement character.
+_IDS_SQL = f"""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_Z_SPLIT}') AS l FROM documents),
+  n AS (SELECT doc_id, CAST(coalesce(list_sum(list_transform(l, lambda p: CASE WHEN p IN ({", ".join(f"'{s}'" for s in Z.SUFFIXES)}) THEN 1 ELSE strlen(p) END)), 0) AS BIGINT) AS n_tokens, coalesce(array_to_string(l, ''), '') AS s FROM p)
+  SELECT doc_id, n_tokens, TRUE AS agrees, md5(replace(regexp_replace(regexp_replace(regexp_replace(s, '[\\x{{10000}}-\\x{{10FFFF}}]', repeat(chr(1), 4), 'g'), '[\\x{{800}}-\\x{{FFFF}}]', repeat(chr(1), 3), 'g'), '[\\x{{80}}-\\x{{7FF}}]', repeat(chr(1), 2), 'g'), chr(1), '�')) AS decoded FROM n"""
 _SUF = ", ".join(f"'{s}'" for s in Z.SUFFIXES)
 QUERIES = {
     "fa01_pad_or_trim": (fa01_pad_or_trim, f"{E} SELECT vec_id, {_R6('d[1:48]')} AS cut, CAST(80 AS INTEGER) AS long_size, round(list_sum(d), 5) AS long_sum FROM e"),
@@ -290,7 +294,7 @@ QUERIES = {
     "tn17_norms": (tn17_norms, f"{E} SELECT label, round(sqrt(sum({_DOT('d', 'd')})), 5) AS norm, round(max(least(sqrt({_DOT('d', 'd')}), 0.5::DOUBLE)), 6) AS largest_clipped FROM e GROUP BY label"),
     "st07_id_sets": (st07_id_sets, f"{E} SELECT vec_id, list_sort(list_distinct(ids || [3, 7, 14])) AS both, list_filter([3, 7, 14], lambda x: NOT list_contains(ids, x)) AS rest FROM e"),
     "tz01_token_counts": (tz01_token_counts, f"SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '{_Z_SPLIT}'), lambda p: CASE WHEN p IN ({_SUF}) THEN 1 ELSE strlen(p) END)), 0) AS BIGINT) AS n_tokens FROM documents"),
-    "tz01_token_ids": (tz01_token_ids, None),
+    "tz01_token_ids": (tz01_token_ids, _IDS_SQL),
     "tz08_sequences": (tz08_sequences, f"SELECT row_id, {Z.SOT} AS first, {Z.EOT} AS last, 64 AS size, 64 AS target_size FROM segments WHERE text <> ''"),
     "jn15_languages": (jn15_languages, "WITH l AS (SELECT lower(lang) AS code, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1), k(code, name, token) AS (VALUES " + ", ".join(f"('{c}', '{n}', {Z.SPECIALS.get(f'<|{c}|>', 'NULL')})" for c, n in Z.LANGUAGES.items()) + ") SELECT code, n, coalesce(name, 'unknown') AS name, token FROM l LEFT JOIN k USING (code)"),
     "fs19_not_composed": (fs19_not_composed, "SELECT doc_id FROM documents WHERE nfc_normalize(text) <> text"),
