@@ -67,14 +67,16 @@ def _expand(graph: DataFrame, n: int) -> DataFrame:
     order = lambda c: F.struct(F.xxhash64(c), c)
     least = F.array_min(F.transform("neighbours", order))
     nodes = cut(graph.select("a", "parts", least.alias("least")).repartition(n, "a").groupBy("a", "parts").agg(F.min("least").alias("least")))
-    reached = frontier = nodes.where(order(F.col("a")) < F.col("least")).select(F.col("a").alias("node"), F.col("a").alias("label"), "parts")
+    is_seed = order(F.col("a")) < F.col("least")
+    reached = frontier = nodes.where(is_seed).select(F.col("a").alias("node"), F.col("a").alias("label"), "parts")
     parts_of = nodes.select(F.col("a").alias("node"), "parts")
-    while True:
+    left = nodes.where(~is_seed).count()  # every node is reached, since every component has a seed
+    while left:
         sent = frontier.select("label", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         met = graph.select("a", "part", "neighbours").join(sent.repartition(n, "a", "part"), ["a", "part"]).select("label", F.explode("neighbours").alias("node"))
         nearest = met.groupBy("node").agg(F.min(order(F.col("label"))).alias("x")).select("node", F.col("x.label").alias("label"))
         new = nearest.repartition(n, "node").join(reached.select("node"), "node", "left_anti").join(parts_of, "node")
         frontier = cut(new)
-        if frontier.isEmpty():
-            return reached.select("node", "label")
+        left -= frontier.count()
         reached = reached.union(frontier)
+    return reached.select("node", "label")
