@@ -39,9 +39,11 @@ def _own_level(start: Column, end: Column) -> Column:
     return F.least(F.floor(F.greatest(F.log2(span) - FAN, F.lit(0.0)) / FAN), F.lit(LEVELS - 1)).cast("int")
 
 
-def _binned(df: DataFrame, start: Column, end: Column, top: Column) -> DataFrame:
-    """df with a row for each bin it covers at its own level and at each level above, up to top."""
-    leveled = df.withColumn("__own", _own_level(start, end)).withColumn("__level", F.explode(F.sequence("__own", top)))
+def _binned(df: DataFrame, start: Column, end: Column, others: Column) -> DataFrame:
+    """df with a row for each bin it covers at its own level and at each level above at which the other side has rows (others)."""
+    leveled = df.withColumn("__own", _own_level(start, end))
+    above = F.array_except(others, F.sequence(F.lit(0), "__own"))
+    leveled = leveled.withColumn("__level", F.explode(F.concat(F.array("__own"), above)))
     width = F.pow(F.lit(2.0), F.col("__level") * FAN).cast("bigint")
     first, last = F.floor(start / width), F.floor((end - 1) / width)
     return leveled.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
@@ -58,8 +60,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     left = left.where(f"{key} IS NOT NULL AND left_end > left_start")
     right = right.where(f"{key} IS NOT NULL AND right_end > right_start")
     sides = [(left, F.col("left_start"), F.col("left_end")), (right, F.col("right_start"), F.col("right_end"))]
-    tops = [df.agg(F.coalesce(F.max(_own_level(s, e)), F.lit(0)).alias("top")).scalar() for df, s, e in sides]
-    a, b = (_binned(df, s, e, F.greatest(*tops)) for df, s, e in sides)
+    used = [df.agg(F.collect_set(_own_level(s, e)).alias("levels")).scalar() for df, s, e in sides]  # at most LEVELS numbers
+    a, b = (_binned(df, s, e, others) for (df, s, e), others in zip(sides, reversed(used), strict=True))
     a = a.withColumnRenamed("__own", "__own_a").withColumnRenamed("__first", "__first_a")
     b = b.withColumnRenamed("__own", "__own_b").withColumnRenamed("__first", "__first_b")
     met = a.join(b, [key, "__level", "__bin"])

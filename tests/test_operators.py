@@ -277,6 +277,14 @@ def test_options_and_exact_numbers(spark):
     assert spark.range(1).select(A.half_even(F.lit(0.125), 2), A.half_even(F.lit(0.375), 2)).first()[:] == (0.12, 0.38)
 
 
+def test_compression_ratio(spark):
+    import zlib
+
+    texts = ["", "a" * 1000, "ế b", None]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(W.compression_ratio_udf("t")).collect()]
+    assert found == [None if t is None else len(t.encode()) / len(zlib.compress(t.encode())) for t in texts]
+
+
 def test_hidden_names_and_empty_files(spark, tmp_path):
     folder = tmp_path / "My topic" / "dataset"
     folder.mkdir(parents=True)
