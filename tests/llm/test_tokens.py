@@ -61,6 +61,18 @@ def test_trie_equals_plain_merging(ranks):
         assert ids == [ranks[t] for t in trie.merge(word)]
 
 
+def test_kept_nodes_change_nothing(ranks, monkeypatch):
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"abcdething \xe1\xba\xbf") for _ in range(rng.randint(1, 40))) for _ in range(900)]
+    for limit in (0, 50, 500_000):
+        monkeypatch.setattr("cuebound.llm.bpe.NODES", limit)
+        trie = TrieEncoder(ranks)
+        for at in range(0, 900, 100):
+            part = sorted(set(words[at : at + 100]))
+            for word, ids in zip(part, trie.encode_sorted(part), strict=True):
+                assert ids == [ranks[t] for t in trie.merge(word)]
+
+
 def test_a_full_cache_changes_nothing(ranks, reference, monkeypatch):
     monkeypatch.setattr(N, "CACHE_ENTRIES", 40)
     texts, encoder = random_texts(300, 2), N.CorpusEncoder(ranks)
