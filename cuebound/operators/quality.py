@@ -71,9 +71,14 @@ def balance(df: DataFrame, key: str, limit: float) -> DataFrame:
 
 
 def quality_summary(segments: DataFrame) -> DataFrame:
-    """(category, n_issues, status): missing cells, and the kinds of issues that occur in times, texts and video ids."""
-    missing = missing_data(segments, ["start", "end", "duration", "video_id", "text", "topic"])
-    parts = [missing.agg(F.lit("Missing Data").alias("category"), F.sum("n_missing").alias("n_issues"))]
-    for name, checks in (("Consistency", CONSISTENCY), ("Text Quality", text_checks(F.col("text"))), ("Video IDs", VIDEO_ID)):
-        parts.append(counted(segments, checks).where("n > 0").agg(F.lit(name).alias("category"), F.count(F.lit(1)).alias("n_issues")))
-    return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.col("n_issues") == 0, "OK").otherwise("ISSUES"))
+    """(category, n_issues, status): missing cells, and the kinds of issues that occur in times, texts and video ids; one pass."""
+    fields = ["start", "end", "duration", "video_id", "text", "topic"]
+    kinds = {"Consistency": CONSISTENCY, "Text Quality": text_checks(F.col("text")), "Video IDs": VIDEO_ID}
+    checks = {f"{kind} {name}": F.expr(c) if isinstance(c, str) else c for kind, named in kinds.items() for name, c in named.items()}
+    counts = [F.count_if(F.col(f).isNull()).alias(f) for f in fields] + [F.count_if(c).alias(name) for name, c in checks.items()]
+    row = segments.agg(*counts)
+    found = {"Missing Data": reduce(Column.__add__, map(F.col, fields))}
+    for kind, named in kinds.items():
+        found[kind] = reduce(Column.__add__, [(F.col(f"`{kind} {name}`") > 0).cast("bigint") for name in named])
+    rows = row.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("category"), n.alias("n_issues")) for kind, n in found.items()])))
+    return rows.withColumn("status", F.when(F.col("n_issues") == 0, "OK").otherwise("ISSUES"))
