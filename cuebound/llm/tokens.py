@@ -55,10 +55,12 @@ def pieces(text: Column, tokenizer: str = "byte_bpe_50k") -> Column:
 def piece_frequencies(text: Column, tokenizer: str = "byte_bpe_50k") -> Column:
     """The different pieces of a text and how often each occurs, as an array of (piece, n); empty for a NULL text. Pieces are sorted, and
     a piece's frequency is the distance between where it and the next begin: no shuffle, whatever the text's length."""
-    ordered = F.array_sort(F.coalesce(pieces(text, tokenizer), F.array().cast("array<string>")))
-    firsts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    lengths = lambda s, f: F.transform(f, lambda i, k: F.struct(F.element_at(s, i).alias("piece"), (F.coalesce(F.get(f, k + 1), F.size(s) + 1) - i).alias("n")))
-    both = F.transform(F.array(ordered), lambda s: F.struct(s.alias("s"), F.when(F.size(s) > 0, firsts(s)).otherwise(F.array().cast("array<int>")).alias("f")))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    places = lambda s: F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(none("int"))
+    firsts = lambda s: F.filter(places(s), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+    lengths = lambda s, f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("piece"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n")))
+    ordered = F.sort_array(F.coalesce(pieces(text, tokenizer), none("string")))
+    both = F.transform(F.array(ordered), lambda s: F.struct(s.alias("s"), firsts(s).alias("f")))  # sorted once, named s
     return F.element_at(F.transform(both, lambda x: lengths(x["s"], x["f"])), 1)
 
 
