@@ -94,6 +94,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, *columns: str) -> DataFrame:
+    """Write df once into the shared folder in n hash buckets by columns, and read it back: joins on these columns do not shuffle it."""
+    spark, label = df.sparkSession, f"cuebound_{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, *columns).write.format("parquet").option("compression", "zstd").option("path", shared_path(spark, name))
+    writer.bucketBy(n, *columns).saveAsTable(label)
+    found = spark.table(label)
+    found.schema  # noqa: B018 - resolved before its name goes
+    spark.sql(f"DROP TABLE {label}")  # the name only; the files stay where they are
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
