@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuebound.session import cut
+from cuebound.session import bucketed, cut
 
 #: Neighbours in one row of the adjacency lists; a node with more has several rows, in different partitions.
 LIST = 4096
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFram
     edges may repeat, run either way or loop (a loop makes its node a component of at least itself). Rows with a NULL end
     are ignored. An empty input gives no rows.
 
-    One level: adjacency lists are hash-partitioned by (node, part) once. Every node that hashes below all its neighbours is a
+    One level: adjacency lists are written once in hash buckets by (node, part). Every node that hashes below all its neighbours is a
     seed, so each component has one. All seeds expand at once: a round sends the frontier, and nothing else, to the lists'
     partitions, and gives each node that is reached for the first time the smallest label that reaches it. Edges between nodes
     with different labels are where searches collided: their distinct label pairs are the edges of a smaller graph (at most
@@ -47,8 +47,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFram
 
 
 def _lists(edges: DataFrame) -> tuple[DataFrame | None, int]:
-    """Adjacency lists (a, part, parts, neighbours) of the distinct edges (a, b), hash-partitioned by (a, part) and cut, and the
-    number of partitions, which follows that of edges; None without edges. b's hash chooses among a node's parts, so that each has
+    """Adjacency lists (a, part, parts, neighbours) of the distinct edges (a, b), in hash buckets by (a, part), and the number
+    of buckets, which follows that of edges; None without edges. b's hash chooses among a node's parts, so that each has
     about LIST neighbours and no task has all edges of a hub."""
     distinct = cut(edges.distinct())
     n_edges = distinct.count()
@@ -59,7 +59,7 @@ def _lists(edges: DataFrame) -> tuple[DataFrame | None, int]:
     hubs = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST).select("a", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
     placed = distinct.join(hubs, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    return cut(placed.repartition(n, "a", "part").groupBy("a", "part", "parts").agg(F.collect_list("b").alias("neighbours"))), n
+    return bucketed(placed.groupBy("a", "part", "parts").agg(F.collect_list("b").alias("neighbours")), "lists", n, "a", "part"), n
 
 
 def _expand(graph: DataFrame, n: int) -> DataFrame:

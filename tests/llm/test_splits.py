@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuebound.functions.keys import fold_topic
+from cuebound.llm import components as C
 from cuebound.llm.components import connected_components
 from cuebound.llm.splits import assign_splits, row_components, tied_topics
 
@@ -47,6 +48,26 @@ def test_components_of_paths_stars_cycles_and_loops(spark):
     assert components(spark, edges) == groups(edges)
 
 
+def test_hubs_have_their_lists_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "LIST", 3)
+    monkeypatch.setattr(C, "EDGES", 5)
+    edges = [("hub", f"s{i}") for i in range(40)] + [(f"s{i}", f"t{i}") for i in range(0, 40, 3)] + [("other", f"u{i}") for i in range(9)]
+    graph, n = C._lists(spark.createDataFrame(edges + [(b, a) for a, b in edges], "a string, b string"))
+    assert n > 1 and graph.where("a = 'hub'").count() > 5
+    assert components(spark, edges) == groups(edges)
+
+
+def test_lists_are_not_shuffled_again(spark, monkeypatch):
+    monkeypatch.setattr(C, "EDGES", 1)
+    graph, n = C._lists(spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "a")], "a string, b string"))
+    assert n == 4
+    sent = spark.createDataFrame([("a", 0)], "a string, part int").repartition(n, "a", "part")
+    joined = graph.join(sent.hint("merge"), ["a", "part"])
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the frontier's
+
+
 def test_components_of_random_graphs_and_none(spark):
     for seed in range(2):
         rng = random.Random(seed)
@@ -120,6 +141,20 @@ def test_splits_keep_components_whole_and_near_the_shares(spark):
     assert {r.split for r in assign_splits(members, (0.85, 0.15, 0.0), 7).collect()} <= {"train", "validation"}
 
 
+def test_splits_in_hash_order_alone(spark):
+    rows = [(i, f"big{i % 2}" if i < 3000 else f"small{i // 4}", None) for i in range(10_000)]
+    members = row_components(spark.createDataFrame(rows, SCHEMA)).cache()
+    shares = (0.6, 0.2, 0.2)
+    splits = {first: {r.row_id: r.split for r in assign_splits(members, shares, 3, first).collect()} for first in (0.0, 0.005)}
+    for of_row in splits.values():
+        by_topic = {}
+        for i, t, _ in rows:
+            by_topic.setdefault(t, set()).add(of_row[i])
+        assert all(len(s) == 1 for s in by_topic.values()) and len(of_row) == len(rows)
+    missed = {first: max(abs(list(of_row.values()).count(name) / 10_000 - share) for name, share in zip(("train", "validation", "test"), shares, strict=True)) for first, of_row in splits.items()}
+    assert missed[0.005] < 0.02 and missed[0.0] < 0.16  # at most what one large component holds
+
+
 def test_splits_of_many_small_groups_are_close(spark):
     df = spark.range(20_000).select(F.col("id").alias("row_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 4)).alias("topic"), F.lit(None).cast("string").alias("video_id"))
     counts = {r.split: r["count"] for r in assign_splits(row_components(df), (0.9, 0.05, 0.05), 7).groupBy("split").count().collect()}
