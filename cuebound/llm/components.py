@@ -20,9 +20,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFram
     are ignored. An empty input gives no rows.
 
     One level: adjacency lists are written once in hash buckets by (node, part). Every node that hashes below all its neighbours is a
-    seed, so each component has one. All seeds expand at once: a round sends the frontier, and nothing else, to the lists'
-    partitions, and gives each node that is reached for the first time the smallest label that reaches it. Edges between nodes
-    with different labels are where searches collided: their distinct label pairs are the edges of a smaller graph (at most
+    seed, so each component has one. All seeds expand at once: a round sends the frontier to the lists' partitions, shuffles
+    nothing that does not lie beside it, and gives each node that is reached for the first time the smallest label that
+    reaches it. Edges between nodes with different labels are where searches collided: their distinct label pairs are the edges of a smaller graph (at most
     half as many nodes, since no two seeds are neighbours), and the next level works on that, until no pair is left. Labels
     compose by joins. Only the numbers of frontier nodes and edges come to the driver.
     """
@@ -69,14 +69,16 @@ def _expand(graph: DataFrame, n: int) -> DataFrame:
     nodes = cut(graph.select("a", "parts", least.alias("least")).repartition(n, "a").groupBy("a", "parts").agg(F.min("least").alias("least")))
     is_seed = order(F.col("a")) < F.col("least")
     reached = frontier = nodes.where(is_seed).select(F.col("a").alias("node"), F.col("a").alias("label"), "parts")
-    parts_of = nodes.select(F.col("a").alias("node"), "parts")
-    left = nodes.where(~is_seed).count()  # every node is reached, since every component has a seed
+    hubs = cut(nodes.where("parts > 1").select(F.col("a").alias("node"), "parts"))
+    before, left = frontier, nodes.where(~is_seed).count()  # every node is reached, since every component has a seed
     while left:
         sent = frontier.select("label", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         met = graph.select("a", "part", "neighbours").join(sent.repartition(n, "a", "part"), ["a", "part"]).select("label", F.explode("neighbours").alias("node"))
         nearest = met.groupBy("node").agg(F.min(order(F.col("label"))).alias("x")).select("node", F.col("x.label").alias("label"))
-        new = nearest.repartition(n, "node").join(reached.select("node"), "node", "left_anti").join(parts_of, "node")
-        frontier = cut(new)
+        # A neighbour of the frontier that was reached already was so in this round or the one before: distances to the seeds differ by one.
+        recent = frontier.select("node").union(before.select("node"))
+        new = nearest.join(recent, "node", "left_anti").join(hubs, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        before, frontier = frontier, cut(new)
         left -= frontier.count()
         reached = reached.union(frontier)
     return reached.select("node", "label")
