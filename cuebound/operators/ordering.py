@@ -16,7 +16,7 @@ def numbered(df: DataFrame, order: list[Column], running: dict[str, tuple[str, C
 
     order must be total, or equal rows are numbered in any order. Rows are range-partitioned and sorted within partitions,
     and written once, so that positions stay the same when tasks run again; each partition's totals (one row a
-    partition) are added up before it. Empty input gives no rows. Running sums leave NULLs out, and are NULL before any.
+    partition, so few whatever the rows, which are broadcast) are added up before it. Empty input gives no rows. Running sums leave NULLs out, and are NULL before any.
     """
     running = running or {}
     rows = df.select("*", *[value.alias(f"__v{i}") for i, (_, value) in enumerate(running.values())])
