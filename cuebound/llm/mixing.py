@@ -87,9 +87,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, fill: bool = True) -> DataFra
 
     A mix has size_factor times the tokens of all rows of sizes; a source aims at target_share of that and is capped at
     max_repeats copies. With fill, what capped sources lack is planned for the others in proportion to their targets, so that the
-    mix has its size if the caps allow it; without, each source is planned at its own target or cap and the mix is smaller. The
-    shares of the mix are the same either way unless filling brings another source to its cap. Sources without tokens have none. A
-    NULL number in targets counts as 0.
+    mix has its size if the caps allow it; without, each source is planned at its own target or cap and the mix is smaller. Sources
+    without tokens have none. A NULL number in targets counts as 0.
     """
     sizes = sizes.select("source", "n_tokens")
     of_source = sizes.where("source IS NOT NULL AND n_tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
