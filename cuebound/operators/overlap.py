@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins that an interval covers at most at its own level are about 2^FAN + 1; widths grow by 2^FAN from level to level.
-FAN, LEVELS = 3, 16
+#: Bins are 2^(FAN * level) wide. An interval covers two at most at its own level (nine beyond 2^60); wider ones are at most 2^FAN times as long as it.
+FAN, LEVELS = 3, 21
 
 
 def label_segments(cues: DataFrame, width: float, ordinal: str) -> DataFrame:
@@ -34,9 +34,8 @@ def fixed_segments(videos: DataFrame, width: int) -> DataFrame:
 
 
 def _own_level(start: Column, end: Column) -> Column:
-    """The smallest level at which an interval covers few bins."""
-    span = F.greatest(end - start, F.lit(1))
-    return F.least(F.floor(F.greatest(F.log2(span) - FAN, F.lit(0.0)) / FAN), F.lit(LEVELS - 1)).cast("int")
+    """The smallest level whose bins are as long as the interval, so that it covers one or two."""
+    return F.least(F.ceil(F.log2(F.greatest(end - start, F.lit(1))) / FAN), F.lit(LEVELS - 1)).cast("int")
 
 
 def _binned(df: DataFrame, start: Column, end: Column, others: Column) -> DataFrame:
@@ -44,8 +43,7 @@ def _binned(df: DataFrame, start: Column, end: Column, others: Column) -> DataFr
     leveled = df.withColumn("__own", _own_level(start, end))
     above = F.array_except(others, F.sequence(F.lit(0), "__own"))
     leveled = leveled.withColumn("__level", F.explode(F.concat(F.array("__own"), above)))
-    width = F.pow(F.lit(2.0), F.col("__level") * FAN).cast("bigint")
-    first, last = F.floor(start / width), F.floor((end - 1) / width)
+    first, last = (F.call_function("shiftright", x.cast("bigint"), F.col("__level") * FAN) for x in (start, end - 1))  # whole, also below 0
     return leveled.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
 
 
@@ -53,8 +51,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Pairs of left and right rows with equal key whose intervals [left_start, left_end) and [right_start, right_end) share
     more than a point; bounds are whole numbers (such as milliseconds), columns of both sides must differ but for key.
 
-    Rows with a NULL key or bound and without positive length pair with none. Bins of a row are few at its own level, whatever its
-    length; a pair meets at the larger of the two levels, in the first bin that both cover, and nowhere else. So no
+    Rows with a NULL key or bound and without positive length pair with none. A row has one or two bins at its own level, whatever
+    its length; a pair meets at the larger of the two levels, in the first bin that both cover, and nowhere else. So no
     bin holds more than what really lies there, and no pair comes twice.
     """
     left = left.where(f"{key} IS NOT NULL AND left_end > left_start")
@@ -64,7 +62,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = (_binned(df, s, e, others) for (df, s, e), others in zip(sides, reversed(used), strict=True))
     a = a.withColumnRenamed("__own", "__own_a").withColumnRenamed("__first", "__first_a")
     b = b.withColumnRenamed("__own", "__own_b").withColumnRenamed("__first", "__first_b")
-    met = a.join(b, [key, "__level", "__bin"])
+    # Spark sizes a broadcast by a side's files, which know nothing of its bins.
+    met = a.hint("merge").join(b, [key, "__level", "__bin"])
     met = met.where("__level = greatest(__own_a, __own_b) AND __bin = greatest(__first_a, __first_b)")
     met = met.where("greatest(left_start, right_start) < least(left_end, right_end)")
     return met.drop("__level", "__bin", "__own_a", "__own_b", "__first_a", "__first_b")

@@ -56,6 +56,24 @@ def test_overlap_join_equals_the_plain_predicate(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_overlap_join_puts_an_interval_into_two_bins_at_most(spark):
+    spans = [(i, "k", a, a + n) for i, (a, n) in enumerate((a, n) for a in (-70_001, 0, 29_999, 2**52 + 1) for n in (1, 2, 63, 512, 30_000, 32_768, 262_143, 2**45, 2**60))]
+    df = spark.createDataFrame(spans, "i bigint, key string, left_start bigint, left_end bigint")
+    bins = O._binned(df, F.col("left_start"), F.col("left_end"), F.array().cast("array<int>")).groupBy("i").count().collect()
+    assert len(bins) == len(spans) and max(r["count"] for r in bins) <= 2
+    large = [(1, "k", 2**60 + 1, 2**60 + 2), (2, "k", -(2**61), 2**61)]
+    a = spark.createDataFrame(large, "l bigint, key string, left_start bigint, left_end bigint")
+    b = spark.createDataFrame([*large, (3, "k", 2**60, 2**60 + 1)], "r bigint, key string, right_start bigint, right_end bigint")
+    assert sorted((r.l, r.r) for r in O.overlap_join(a, b, "key").collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+
+
+def test_overlap_join_does_not_broadcast_bins(spark):
+    side = lambda name: spark.range(1000).select(F.lit("k").alias("key"), (F.col("id") * 10).alias(f"{name}_start"), (F.col("id") * 10 + 15).alias(f"{name}_end"))
+    found = O.overlap_join(side("left"), side("right"), "key")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1000 + 2 * 999
+
+
 def test_numbers_and_running_totals(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([None, 1.0, 2.5, -3.0]), rng.choice(["a", "a", "a", "b", None])) for i in range(500)]
