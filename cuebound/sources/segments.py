@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuebound.functions.text import stem
+from cuebound.session import _file_system
 
 SEGMENT = T.StructType(
     [
@@ -27,30 +30,80 @@ SUMMARY = "dataset_summary.json"
 AUDIO = [".wav", ".mp3", ".m4a", ".flac"]
 
 
-def read_hidden(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """(file_path, value) of the whole text files that match patterns and whose names begin with an underscore or a dot, as ids may:
-    Spark's sources take such files for hidden. Their paths are listed by the driver, like those of any source."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for pattern in patterns:
-        target = jvm.org.apache.hadoop.fs.Path(pattern)
-        found += [(str(s.getPath().toUri()),) for s in target.getFileSystem(conf).globStatus(target) or []]
+#: Contents that a task of read_files holds at a time, in bytes (a single larger file aside).
+HELD = 8_000_000
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote
 
+def _opened(uri: str):  # noqa: ANN202
+    """(PyArrow file system, path in it) of a URI as Hadoop writes it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), unquote(uri.removeprefix("file:")).replace("//", "/")) if uri.startswith("file:") else fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def _quoted(name: str) -> str:
+    """name as Hadoop writes it in a URI: blanks, controls and ASCII signs that a path may not have as bytes, other letters as they are."""
+    legal = lambda c: c.isalnum() or c in "_-!.~'()*,;:$&+=@" if c.isascii() else unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc")
+    return name if name.isascii() and name.replace("_", "").replace("-", "").replace(".", "").isalnum() else "".join(c if legal(c) else quote(c, safe="") for c in name)
+
+
+def list_files(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
+    """(file_path) of the files root/<folder>/dataset/*.json, hidden names and empty files included, without those named exclude. The executors
+    list, a folder a task at a time, so the driver holds no paths."""
+    system, target = _file_system(spark, root)
+    if not system.exists(target):
+        raise FileNotFoundError(root)
+    base, n = re.sub("^([a-z0-9]+):///", r"\1:/", str(system.makeQualified(target).toUri())).rstrip("/"), _parts(spark)
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for _ in batches:
+            files, path = _opened(base)
+            found = [f"{base}/{_quoted(i.base_name)}/dataset" for i in files.get_file_info(fs.FileSelector(path)) if i.type == fs.FileType.Directory]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["file_path"])
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            texts = []
-            for uri in batch.column(0).to_pylist():
-                local = uri.startswith("file:")
-                system, path = (fs.LocalFileSystem(), unquote(uri.removeprefix("file:"))) if local else fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(path) as stream:
-                    texts.append(stream.read().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file_path", "value"])
+            for folder in batch.column(0).to_pylist():
+                files, path = _opened(folder)
+                infos = files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                found = [f"{folder}/{_quoted(i.base_name)}" for i in infos if i.type == fs.FileType.File and i.extension == "json" and i.base_name != exclude]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["file_path"])
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(folders, "file_path string").repartition(n, "file_path")
+    return listed.mapInArrow(names, "file_path string").repartition(n, "file_path")
+
+
+def _parts(spark: SparkSession) -> int:
+    """Partitions of lists of paths: by number, since paths are small and what they name is not."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
-    return spark.createDataFrame(found, "file_path string").mapInArrow(read, "file_path string, value string")
+def read_files(paths: DataFrame) -> DataFrame:
+    """(file_path, content) of the whole files that paths (file_path) names, whatever they are called and however small they are."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, names, contents, held = {}, [], [], 0
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                folder, name = uri.rsplit("/", 1)
+                if folder not in opened:
+                    opened = {folder: _opened(folder)}  # the latest only
+                files, path = opened[folder]
+                with files.open_input_stream(f"{path}/{unquote(name)}", compression=None) as stream:
+                    contents.append(stream.read())
+                names.append(uri)
+                held += len(contents[-1])
+                if held >= HELD or len(names) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file_path", "content"])
+                    names, contents, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file_path", "content"])
+
+    return paths.mapInArrow(read, "file_path string, content binary")
 
 
 def read_segments(spark: SparkSession, root: str, exclude_summary: bool = True) -> DataFrame:
@@ -58,17 +111,9 @@ def read_segments(spark: SparkSession, root: str, exclude_summary: bool = True)
 
     Adds topic, segment_id and file_path from the path. A duration whose key is absent is filled from the bounds; one that is
     null stays missing. exclude_summary leaves out the summary file, which is no segment; without it that file gives a
-    row without text and times.
+    row without text and times. The executors list and read the files, through PyArrow's file systems.
     """
-    place = f"{root.rstrip('/')}/*/dataset"
-    found = spark.read.format("binaryFile").load(f"{place}/*.json")
-    files = found.select(F.col("_metadata.file_path").alias("file_path"), F.col("content").cast("string").alias("value"))
-    listed = spark.createDataFrame([(re.sub("^([a-z0-9]+):///", r"\1:/", p),) for p in found.inputFiles()], "file_path string")
-    empty = listed.join(files.select("file_path"), "file_path", "left_anti")  # sources skip files without bytes
-    files = files.unionByName(empty.withColumn("value", F.lit("")))
-    files = files.unionByName(read_hidden(spark, [f"{place}/[_.]*.json"]))
-    if exclude_summary:
-        files = files.where(~F.col("file_path").endswith("/" + SUMMARY))
+    files = read_files(list_files(spark, root, SUMMARY if exclude_summary else None)).select("file_path", F.col("content").cast("string").alias("value"))
     row = F.from_json("value", SEGMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
     has_key = F.coalesce(F.array_contains(F.json_object_keys("value"), "duration"), F.lit(False))
     parsed = files.select(row.alias("r"), has_key.alias("has_key"), "file_path", "value").select("r.*", "has_key", "file_path", "value")

@@ -313,6 +313,24 @@ def test_hidden_names_and_empty_files(spark, tmp_path):
     assert sorted(r.file_path[-10:] for r in bad.collect()) == ["b_001.json", "c_001.json", "d_001.json"]
 
 
+def test_executors_list_the_tree(spark, tmp_path):
+    names = ["a b.json", "Biển+Nắng%20é.json", "x#y?[1].json", "_h.json", ".h.json", "no.txt", "dataset_summary.json"]
+    for topic in ("Bếp lửa 1", "[t]"):
+        (tmp_path / topic / "dataset" / "d.json").mkdir(parents=True)
+        for name in names:
+            (tmp_path / topic / "dataset" / name).write_text('{"text": "x"}')
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "file.json").write_text("{}")
+    rows = G1.read_segments(spark, str(tmp_path))
+    assert rows.inputFiles() == []  # the driver holds no list of files
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).where("path LIKE '%/dataset/%.json' AND path NOT LIKE '%summary%'")
+    seen = {r[0] for r in rows.select("file_path").collect()}
+    assert {r[0] for r in want.select("_metadata.file_path").collect()} == {p for p in seen if not p.rsplit("/", 1)[1].startswith(("_", "."))}
+    assert len(seen) == 10 and {r.text for r in rows.collect()} == {"x"}
+    with pytest.raises(FileNotFoundError):
+        G1.read_segments(spark, str(tmp_path / "none"))
+
+
 def test_pipeline(spark, tmp_path):
     made = []
 
