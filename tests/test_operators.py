@@ -331,6 +331,13 @@ def test_executors_list_the_tree(spark, tmp_path):
         G1.read_segments(spark, str(tmp_path / "none"))
 
 
+def test_read_errors_reads_the_tree_once(spark):
+    from cuebound.queries.files import src03_read_errors
+
+    plan = src03_read_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow read") == 1 and "Union" not in plan
+
+
 def test_pipeline(spark, tmp_path):
     made = []
 
