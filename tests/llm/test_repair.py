@@ -187,6 +187,27 @@ def test_garbled_text_that_was_trained_on_is_found(spark):
     assert found[0][1] == {1200 + i: t for i, t in enumerate(clean)}
 
 
+@pytest.mark.parametrize(("noise", "times"), [(M.NOISE, 1), (0.0, 2)])
+def test_cases_are_judged_again_only_for_other_models(spark, monkeypatch, noise, times):
+    bad = wrong(" ".join([CLEAN[10]] * 2), "koi8_r", "cp1251")  # trained on at first, 0.04 % of all
+    df = spark.createDataFrame(list(enumerate([*texts(1200, 9), bad])), "doc_id bigint, text string").coalesce(1)
+    calls, validated = [], R._validated
+    monkeypatch.setattr(R, "_validated", lambda *args: calls.append(args) or validated(*args))
+    monkeypatch.setattr(M, "NOISE", noise)
+    readings, v = R.read_garbled(df, "doc_id", "text")
+    assert [r.id for r in readings.where(R._accepted(v) > 0).collect()] == [1200]
+    assert len(calls) == times
+    assert all(docs == 1201 and counts.total == sum(f.total for f in folds) for _, counts, folds, docs in calls)
+
+
+def test_words_kept_from_block_to_block_change_nothing(model):
+    hopes = M.Hopes(model)
+    for seed in range(3):
+        many = texts(40, seed)
+        assert (R._cases(model, many, seed, hopes) == R._cases(model, many, seed)).all()
+    assert len(hopes) > 0
+
+
 def test_languages_tell_words_that_do_not_fit(spark):
     rng, rows = random.Random(4), []
     for name, many in LANGUAGES.items():
