@@ -225,7 +225,9 @@ def _cases(model: M.Model, sample: list[str], seed: int = 0, hopes: M.Hopes | No
             tokens = s.split(" ")
             tokens.insert(rng.randint(0, len(tokens)), f'"{bad}"' if i % 2 else bad)
             examples.append(" ".join(tokens))
-    hopes.learn([M.blanks(bad) for bad in [*(bad for bad, _ in garbled), *examples]])
+    words_of = [M.blanks(bad) for bad in [*(bad for bad, _ in garbled), *examples]]
+    hopes.learn(words_of)
+    model.prepare(itertools.chain((bad for bad, _ in garbled), examples, right))
     found = np.zeros((4, M.BINS), np.int64)
     for bad, s in garbled:
         v = M.judge(bad, model, hopes)

@@ -208,6 +208,40 @@ def test_words_kept_from_block_to_block_change_nothing(model):
     assert len(hopes) > 0
 
 
+def test_words_are_scored_once_and_add_up(model):
+    made = M.Model(counts_of(LANGUAGES))
+    garbled = [wrong(t, "utf-8", "cp1252") for t in CLEAN]
+    for text in [*CLEAN, *garbled, "", " ", "a", " à  b ", "đã\tđến\nlúc", CLEAN[0] + " " + CLEAN[12]]:
+        for ends in ("\n", " "):
+            pairs = M.pair_codes(M.codes(f"{ends}{text}{ends}"))
+            assert np.allclose(made.by_language(text, ends), made.tables[pairs].sum(0, dtype=np.float64), atol=1e-6)
+    known = [made.score(t) for t in garbled]
+    made.prepare([*CLEAN, *garbled])
+    assert np.allclose([made.score(t) for t in garbled], known)
+    made.prepare([])
+    made.tables = None  # words that are known need no table
+    assert np.allclose([made.score(t) for t in garbled], known)
+
+
+def test_words_that_are_cleared_change_nothing(model, monkeypatch):
+    many = texts(40, 8)
+    expected = R._cases(model, many, 3)
+    monkeypatch.setattr(M, "KEPT", 20)
+    for cache in (M._MASKS, M._VALID, M._AGAIN, M._READS, M._WIDE_AGAIN, M._BLOCKS):
+        cache.clear()
+    model._at.clear(), model._alone.clear(), model._words.clear(), model._surprises.clear()
+    assert (R._cases(model, many, 3) == expected).all()
+    assert len(model._at) < 2_000
+
+
+def test_first_words_rule_out_no_encoding_of_utf8(model):
+    for clean in CLEAN:
+        for name in M.READ_AS:
+            bad = M.garble(clean, "utf-8", name)
+            for text in {bad, bad and bad.replace("\xa0", " "), clean} - {None}:
+                assert [n for n in M.may_read_as(text) if M.utf8_again(text, n) is not None] == [n for n in M._may_be_utf8(text) if M.utf8_again(text, n) is not None]
+
+
 def test_languages_tell_words_that_do_not_fit(spark):
     rng, rows = random.Random(4), []
     for name, many in LANGUAGES.items():
